@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genlex.session import table
+from genlex.session import materialize, table
 
 from . import conversations as conv
-from . import defects, lookalikes, survivors
+from . import balanced, consensus, defects, lookalikes, mixture, survivors
 
 
 def _lexicon_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -55,4 +55,78 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.with_canonical(both, "word", lookalikes.canonical_forms(both, "word"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p2_found, p2_transcripts, p3_found, p4_found, p4_canonical)}
+def _sample_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    pairs = table(spark, d, "instruct_pairs")
+    targets = table(spark, d, "sample_targets").select(F.col("source").alias("category"), "target_share", "min_rows")
+    return balanced.instruction_records(pairs), targets, pairs.count() // 4
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    records, targets, size = _sample_inputs(spark, d)
+    drawn = balanced.balanced_sample(records, targets, size)
+    return drawn.select(F.col("id").alias("pair_id"), F.col("category").alias("source"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    records, targets, size = _sample_inputs(spark, d)
+    return balanced.imbalance(balanced.balanced_sample(records, targets, size), records, targets, size)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sources whose target the sample could not meet, in their spelling in sample_targets."""
+    report = p5_report(spark, d).where("not met").select(F.col("category").alias("key"))
+    names = table(spark, d, "sample_targets").select("source", balanced.category_key(F.col("source")).alias("key"))
+    return names.join(report, "key", "left_semi").select("source")
+
+
+ITEM = ["text_index", "noun"]
+
+
+def _votes(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(consensus.judgements(table(spark, d, "annotations")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    votes = _votes(spark, d)
+    items = consensus.consensus(votes, consensus.reliability(votes, ITEM), ITEM)
+    original = votes.groupBy(*ITEM).agg(F.max("original").alias("original"))
+    against = F.when(F.col("original") == 1, F.col("n_votes") - F.col("n_ones")).otherwise(F.col("n_ones"))
+    return items.join(original, ITEM).where((F.col("n_votes") >= 2) & (against * 2 > F.col("n_votes"))).select(*ITEM)
+
+
+def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
+    votes = _votes(spark, d)
+    return consensus.consensus(votes, consensus.reliability(votes, ITEM), ITEM)
+
+
+def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
+    votes = _votes(spark, d)
+    return consensus.reliability(votes, ITEM).select("annotator", "n_items", F.round("accuracy", 6).alias("accuracy"), F.round("weight", 6).alias("weight"))
+
+
+def p6_agreement(spark: SparkSession, d: str) -> DataFrame:
+    votes = _votes(spark, d)
+    items = votes.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("n_votes"), F.sum(F.col("label").cast("bigint")).alias("n_ones"))
+    return consensus.krippendorff_alpha(items)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    report = mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return report.where("not met").select("source")
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_entries, p2_found, p2_transcripts, p3_found, p4_found, p4_canonical, p5_found, p5_sample, p5_report, p6_found, p6_consensus, p6_annotators, p6_agreement,
+        p8_found, p8_mixture, p8_shares,
+    )
+}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from genlex.session import materialize, table
 
 from . import conversations as conv
-from . import balanced, consensus, defects, lookalikes, mixture, survivors
+from . import balanced, consensus, contamination, defects, lookalikes, mixture, survivors
 
 
 def _lexicon_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -110,6 +110,14 @@ def p6_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.krippendorff_alpha(items)
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_passages").select("item_id", "text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     report = mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
     return report.where("not met").select("source")
@@ -127,6 +135,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_entries, p2_found, p2_transcripts, p3_found, p4_found, p4_canonical, p5_found, p5_sample, p5_report, p6_found, p6_consensus, p6_annotators, p6_agreement,
-        p8_found, p8_mixture, p8_shares,
+        p7_found, p7_leaks, p8_found, p8_mixture, p8_shares,
     )
 }

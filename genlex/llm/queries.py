@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from genlex.session import materialize, table
 
 from . import conversations as conv
-from . import balanced, consensus, contamination, defects, lookalikes, mixture, survivors
+from . import balanced, consensus, contamination, defects, lookalikes, mixture, pii, survivors
 
 
 def _lexicon_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -131,10 +131,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.spans(table(spark, d, "documents"), table(spark, d, "first_names")).select("doc_id", "kind", "found_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "first_names"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_entries, p2_found, p2_transcripts, p3_found, p4_found, p4_canonical, p5_found, p5_sample, p5_report, p6_found, p6_consensus, p6_annotators, p6_agreement,
-        p7_found, p7_leaks, p8_found, p8_mixture, p8_shares,
+        p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_redacted,
     )
 }

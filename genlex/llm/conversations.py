@@ -2,7 +2,7 @@
 
 Method: keyed streaming state with event-time watermarks. Message rows name only their parent, so a relational step first
 gives every message the conversations it belongs to (pointer doubling: the number of joins grows with the logarithm of the
-longest thread). The stream then keys by conversation, buffers its messages in whatever order they arrive, and emits the
+longest thread). The stream then keys by thread, buffers messages in whatever order they arrive, and emits a
 conversation when it is complete, or drops it as broken when the watermark passes its timeout.
 """
 
@@ -26,7 +26,6 @@ ROLES = {
     "system": ("system", "système", "systeme", "sistema", "sys", "systemprompt", "system_prompt"),
 }
 STATE_SCHEMA = "items string"
-FAR_FUTURE_US = 253_370_764_800_000_000  # year 9999: moves the watermark past every timeout once the input is complete
 
 
 def clean_id(c: Column) -> Column:
@@ -91,13 +90,20 @@ def thread_members(links: DataFrame) -> DataFrame:
     return members
 
 
-def events(messages: DataFrame) -> DataFrame:
-    """The stream's input: one compact row per conversation and message, with the number of messages the conversation has."""
+def events(messages: DataFrame, per_key: int = 64) -> DataFrame:
+    """The stream's input: one compact row per conversation and message, with the number of messages the conversation has.
+
+    ``thread`` and ``part`` are the key of the stream's state: the top of the conversation, and a share of the conversations
+    under it such that a key has about ``per_key`` of them however many there are, so a hot thread is split.
+    """
     members = thread_members(messages.select("id", "parent"))
-    size = members.groupBy("leaf").agg((F.max("back") + 1).alias("size"))
+    ends = members.groupBy("leaf").agg((F.max("back") + 1).alias("size"), F.max_by("id", "back").alias("thread"))
+    shares = ends.groupBy("thread").agg(F.ceil(F.count(F.lit(1)) / per_key).alias("shares"))
+    ends = ends.join(shares, "thread").select("leaf", "size", "thread", F.pmod(F.xxhash64("leaf"), F.col("shares")).alias("part"))
     facts = messages.select("id", F.col("parent").isNull().alias("root"), F.coalesce(F.substring("speaker", 1, 1), F.lit("?")).alias("who"), "readable", "at")
-    out = members.join(facts, "id").join(size, "leaf")
-    return out.select("leaf", "id", (F.col("size") - 1 - F.col("back")).alias("turn"), "size", "root", "who", "readable", F.timestamp_micros(F.greatest("at", F.lit(0))).alias("event_time"))
+    out = members.join(facts, "id").join(ends, "leaf")
+    at = F.timestamp_micros(F.greatest("at", F.lit(0))).alias("event_time")
+    return out.select("thread", "part", "leaf", "id", (F.col("size") - 1 - F.col("back")).alias("turn"), "size", "root", "who", "readable", at)
 
 
 def validate(items: list[tuple]) -> tuple[str, str, int] | None:
@@ -116,27 +122,27 @@ def validate(items: list[tuple]) -> tuple[str, str, int] | None:
 def _close(timeout_ms: int):
     import json
 
-    def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        empty = pd.DataFrame({"root_id": [], "last_id": [], "n_messages": [], "leaf": []}).astype({"n_messages": "int32"})
-        if state.hasTimedOut:  # messages that never came: the conversation is broken
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # messages that never came: these conversations are broken
             state.remove()
-            yield empty
             return
-        held = {x[0]: x for x in json.loads(state.get[0])} if state.exists else {}
-        size, seen = 0, 0
+        held: dict[str, list] = json.loads(state.get[0]) if state.exists else {}  # leaf: [size, {turn: message}]
+        seen, sound = 0, []
         for pdf in batches:
-            for turn, id_, root, who, readable, n, at in zip(pdf["turn"], pdf["id"], pdf["root"], pdf["who"], pdf["readable"], pdf["size"], pdf["event_time"], strict=True):
-                held[int(turn)] = (int(turn), id_, bool(root), who, bool(readable))
-                size, seen = max(size, int(n)), max(seen, int(at.timestamp() * 1000))
-        if len(held) < size or not size:
-            state.update((json.dumps(list(held.values())),))
-            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + timeout_ms)
-            yield empty
-            return
-        if state.exists:
+            seen = max(seen, pdf["event_time"].max().value // 1_000_000)
+            for leaf, turn, id_, root, who, readable, n in zip(*(pdf[c].tolist() for c in ("leaf", "turn", "id", "root", "who", "readable", "size")), strict=True):
+                held.setdefault(leaf, [n, {}])[1][str(turn)] = (turn, id_, root, who, readable)
+        for leaf in [k for k, (n, got) in held.items() if len(got) >= n]:
+            found = validate(sorted(held.pop(leaf)[1].values()))
+            if found:
+                sound.append((*found, leaf))
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max(int(seen), state.getCurrentWatermarkMs()) + timeout_ms)
+        elif state.exists:
             state.remove()
-        found = validate([held[t] for t in sorted(held)])
-        yield empty if found is None else pd.DataFrame({"root_id": [found[0]], "last_id": [found[1]], "n_messages": [found[2]], "leaf": [key[0]]}).astype({"n_messages": "int32"})
+        if sound:
+            yield pd.DataFrame(sound, columns=["root_id", "last_id", "n_messages", "leaf"]).astype({"n_messages": "int32"})
 
     return step
 
@@ -144,10 +150,10 @@ def _close(timeout_ms: int):
 def assemble(stream: DataFrame, delay: str = "40 days", timeout_ms: int = 86_400_000) -> DataFrame:
     """The stateful operator on a stream of ``events``: emits ``(root_id, last_id, n_messages, leaf)`` of each sound conversation.
 
-    State per conversation is ids and flags, never contents; its size is that of the one record it emits. ``delay`` is how late
-    a row may come by event time before the watermark passes it, ``timeout_ms`` how long an incomplete conversation waits.
+    State per key is the ids and flags of conversations that still lack messages, never contents. ``delay`` is how late a row
+    may come by event time before the watermark passes it, ``timeout_ms`` how long an incomplete conversation waits.
     """
-    keyed = stream.withWatermark("event_time", delay).groupBy("leaf")
+    keyed = stream.withWatermark("event_time", delay).groupBy("thread", "part")
     return keyed.applyInPandasWithState(_close(timeout_ms), "root_id string, last_id string, n_messages int, leaf string", STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -170,10 +176,10 @@ def conversations(messages: DataFrame) -> DataFrame:
     message_id, parent_id, role, content, created_at and ingested_at are read.
     """
     spark = messages.sparkSession
-    compact = events(latest_messages(messages))
+    compact = events(materialize(latest_messages(messages).drop("content")))
     path = shared_dir(spark)
     compact.write.parquet(path)
-    schema = "leaf string, id string, turn bigint, size bigint, root boolean, who string, readable boolean, event_time timestamp"
+    schema = "thread string, part bigint, leaf string, id string, turn bigint, size bigint, root boolean, who string, readable boolean, event_time timestamp"
     return run_once(spark, path, schema)
 
 

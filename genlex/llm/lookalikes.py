@@ -13,6 +13,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genlex.session import materialize
+
 # Letters of other alphabets that are drawn like a Latin letter, as "Latin letter: look-alikes".
 LOOKALIKE_LETTERS = {
     "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СϹᏟꓚ", "D": "Ꭰꓓꓒ", "E": "ЕΕᎬꓰ", "F": "Ϝꓝ", "G": "Ԍꓖ", "H": "НΗᎻꓧ", "I": "ІΙӀꓲ", "J": "ЈᎫꓙ",
@@ -96,7 +98,7 @@ def canonical_forms(texts: DataFrame, text_col: str) -> DataFrame:
     """
     raw = texts.select(F.col(text_col).alias("raw")).where(F.col("raw").isNotNull()).groupBy("raw").agg(F.lit(1).alias("one"))
     mapped = raw.select("raw", map_lookalikes(F.col("raw")).alias("mapped")).where("mapped <> ''")
-    mapped = mapped.select("raw", F.lower("mapped").alias("mapped"))
+    mapped = materialize(mapped.select("raw", F.lower("mapped").alias("mapped")))  # read twice below
     members = mapped.groupBy("mapped").agg(F.lit(1).alias("one")).select("mapped", F.collate("mapped", COLLATION).alias("same"))
     plainness = F.struct(F.length(F.regexp_replace("mapped", "[a-z]", "")).alias("odd"), F.col("mapped").alias("form"))
     classes = members.groupBy("same").agg(F.min(plainness)["form"].alias("canonical"))
@@ -119,9 +121,9 @@ def same_reading(left: DataFrame, left_id: str, left_text: str, right: DataFrame
     """
     a = left.select(F.col(left_id).alias("a_id"), F.col(left_text).alias("a_text")).where("a_text is not null")
     b = right.select(F.col(right_id).alias("b_id"), F.col(right_text).alias("b_text")).where("b_text is not null")
-    forms = canonical_forms(a.select(F.col("a_text").alias("t")).unionByName(b.select(F.col("b_text").alias("t"))), "t")
+    forms = materialize(canonical_forms(a.select(F.col("a_text").alias("t")).unionByName(b.select(F.col("b_text").alias("t"))), "t"))
     fa = a.select("a_text").distinct().join(forms, F.col("a_text") == F.col("raw")).select("a_text", "canonical")
     fb = b.select("b_text").distinct().join(forms, F.col("b_text") == F.col("raw")).select("b_text", "canonical")
     differ = F.lower(F.trim("a_text")) != F.lower(F.trim("b_text"))
     pairs = fa.join(fb, "canonical").where(differ).select("a_text", "b_text", "canonical")
-    return a.join(pairs, "a_text").join(b, "b_text").select("a_id", "b_id", "canonical")
+    return a.join(materialize(pairs), "a_text").join(b, "b_text").select("a_id", "b_id", "canonical")

@@ -15,7 +15,7 @@ def _lexicon_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lexicon_entries").select("entry_id", "noun", "class", "subclass", "origin", "updated_at")
     rows = lookalikes.with_canonical(rows, "noun", lookalikes.canonical_forms(rows, "noun"), "same_noun")
     ranks = table(spark, d, "lexicon_origins").select("origin", "trust_rank")
-    return rows.join(ranks, "origin", "left")
+    return materialize(rows.join(ranks, "origin", "left"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -58,7 +58,7 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
 def _sample_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
     pairs = table(spark, d, "instruct_pairs")
     targets = table(spark, d, "sample_targets").select(F.col("source").alias("category"), "target_share", "min_rows")
-    return balanced.instruction_records(pairs), targets, pairs.count() // 4
+    return materialize(balanced.instruction_records(pairs)), targets, pairs.count() // 4
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:

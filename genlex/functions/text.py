@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import values as V
 
-TOKEN = r"(?:[cdjlmnstCDJLMNST]|[qQ]u)['’]|\p{L}+(?:[-·‧⋅•∙/.]\p{L}+|\(\p{L}+\)?)*|\p{N}+|[^\s\p{L}\p{N}]"
+TOKEN = r"(?:[cdjlmnstCDJLMNST]|[qQ]u)['’]|\p{L}+(?:[-·‧⋅•∙/.]\p{L}+|\(\p{L}+\)?\p{L}*)*|\p{N}+|[^\s\p{L}\p{N}]"
 SENTENCE_END = r"([.!?…])\s+"
 SEPARATOR_CLASS = "[·‧.⋅•∙/(]"
 

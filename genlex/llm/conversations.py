@@ -131,7 +131,7 @@ def _close(timeout_ms: int):
         for pdf in batches:
             seen = max(seen, pdf["event_time"].max().value // 1_000_000)
             for leaf, turn, id_, root, who, readable, n in zip(*(pdf[c].tolist() for c in ("leaf", "turn", "id", "root", "who", "readable", "size")), strict=True):
-                held.setdefault(leaf, [n, {}])[1][str(turn)] = (turn, id_, root, who, readable)
+                held.setdefault(leaf, [n, {}])[1][str(turn)] = [turn, id_, root, who, readable]
         for leaf in [k for k, (n, got) in held.items() if len(got) >= n]:
             found = validate(sorted(held.pop(leaf)[1].values()))
             if found:

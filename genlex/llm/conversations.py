@@ -158,10 +158,15 @@ def assemble(stream: DataFrame, delay: str = "40 days", timeout_ms: int = 86_400
 
 
 def run_once(spark: SparkSession, source: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
-    """Run ``assemble`` over all files of ``source`` and return what it emitted. Restartable: progress and state lie in the shared folder."""
+    """Run ``assemble`` over all files of ``source`` and return what it emitted. Restartable: progress and state lie in the shared folder.
+
+    The files of a table are in no order of time, and rows behind the watermark are dropped: the delay is therefore the span
+    of the table's own times, so that no file is late whichever comes first.
+    """
+    span = spark.read.schema(schema).parquet(source).agg((F.unix_seconds(F.max("event_time")) - F.unix_seconds(F.min("event_time"))).alias("s")).first()["s"]
     out, progress = shared_dir(spark), shared_dir(spark)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    query = assemble(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
+    query = assemble(stream, f"{(span or 0) + 1} seconds").writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     result = spark.read.schema("root_id string, last_id string, n_messages int, leaf string").parquet(out)
     delete_path(spark, progress)

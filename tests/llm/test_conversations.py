@@ -103,6 +103,17 @@ def test_late_messages_wait_in_state(spark, tmp_path):
     assert [tuple(r) for r in out.collect()] == [("r", "a", 2, "a")]
 
 
+def test_no_file_is_late(spark, tmp_path):
+    """Files of a table may come newest first, years apart: nothing is dropped behind the watermark."""
+    rows = [("r", None, "user", "q", 0), ("a", "r", "assistant", "x", 3_000_000), ("s", None, "user", "q", 1), ("b", "s", "assistant", "x", 2)]
+    ev = C.events(C.latest_messages(table(spark, rows)))
+    path = str(tmp_path / "ev")
+    for k, cond in enumerate(("id = 'a'", "id = 'b'", "id = 'r'", "id = 's'")):
+        ev.where(cond).coalesce(1).write.mode("append" if k else "overwrite").parquet(path)
+    schema = "thread string, part bigint, leaf string, id string, turn bigint, size bigint, root boolean, who string, readable boolean, event_time timestamp"
+    assert sorted(r["last_id"] for r in C.run_once(spark, path, schema, files_per_trigger=1).collect()) == ["a", "b"]
+
+
 def test_transcripts(spark):
     rows = [("r", None, "prompter", "q"), ("a", "r", "bot", "x"), ("b", "a", "user", "cut"), ("c", "a", "user", "cut too")]
     got = sorted(tuple(r) for r in C.transcripts(table(spark, rows)).collect())

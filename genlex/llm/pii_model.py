@@ -55,9 +55,10 @@ _AT = "(?:@|[\\[({<]{0}(?:at|arobase|arroba|a|à|chez){0}[\\])}>]|(?<= )(?:aroba
 _DOT = "(?:(?<! )\\.(?! )|(?<= )\\.(?= )|[\\[({]{0}(?:\\.|dot|point|punto|punkt|pt){0}[\\])}]|(?<=[ \\u00a0])(?:point|dot|punto|punkt)(?=[ \\u00a0]))".replace("{0}", GAP + "?")
 _SP = "[ \\u00a0]?"
 EMAIL = re.compile(f"(?<![\\w.+-])[A-Za-z0-9À-ÿ][\\wÀ-ÿ.+%-]*{_SP}{_AT}{_SP}[A-Za-z0-9À-ÿ-]+(?:{_SP}{_DOT}{_SP}[A-Za-z0-9À-ÿ-]+)+", re.I)
-_NAME_TOKEN = f"(?:[{U}]\\.(?:[ -]?[{U}]\\.)*|[{U}][{U}{L}'’]+(?:-[{U}][{U}{L}'’]+)*)"
+_NAME_WORD = f"(?:[{U}]['’])?[{U}][{U}{L}]+(?:['’][{U}][{U}{L}]+)?"
+_NAME_TOKEN = f"(?:[{U}]\\.(?:[ -]?[{U}]\\.)*|{_NAME_WORD}(?:-{_NAME_WORD})*)"
 _PARTICLE = "(?:de la|de|du|d['’]|Le|La|Du|De|Des|von der|von|van der|van den|van|zu|del|della|di|da|dos|El|Mac|Mc|O['’])"
-NAME_RUN = re.compile(f"(?<![\\w@.+/'’-]){_NAME_TOKEN}(?:{GAP}(?:{_PARTICLE}{GAP}?)?{_NAME_TOKEN})+(?![\\w@])")
+NAME_RUN = re.compile(f"(?<![\\w@.+/'’-]){_NAME_TOKEN}(?:{GAP}(?:{_PARTICLE}{GAP}?)?{_NAME_TOKEN})+(?![\\w@·•])")
 LOWER_NAME = re.compile(f"(?<![\\w@.+/'’-])([{L}]{{3,}}(?:-[{L}]{{3,}})?){GAP}((?:de{GAP}|le{GAP}|la{GAP}|du{GAP}|d['’])?([{L}]{{3,}}(?:-[{L}]{{3,}})*))(?![\\w@'’-])")
 _NAME_PART = re.compile(f"{_NAME_TOKEN}|(?:de la|von der|van der|van den|de|du|d['’]|von|van|zu|del|della|di|da|dos)(?={GAP}|[{U}])")
 _PARTICLES = frozenset("de la du des d' d’ le la les von van der den zu del della di da dos el".split())

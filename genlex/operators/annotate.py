@@ -54,3 +54,24 @@ def model_annotate(texts: DataFrame, id_col: str, text_col: str, load, batch: in
 
     src = texts.select(F.col(id_col).cast("string").alias("text_id"), F.col(text_col).alias("text")).where("text is not null")
     return src.mapInPandas(run, TOKEN_SCHEMA)
+
+
+def label_nouns(nouns: DataFrame, load, h_aspirated: list[str], batch: int = 32) -> DataFrame:
+    """``(noun, label)``: the first entity label of the noun in its carrier sentence, else of the bare noun, else ``""``.
+
+    ``load()`` runs once per worker and returns ``label(list of texts)``, which gives a label or ``""`` for each. Nouns without a
+    label are asked a second time only. Null nouns are skipped.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        label = load()
+        for pdf in batches:
+            for k in range(0, len(pdf), batch):
+                part = pdf.iloc[k : k + batch].reset_index(drop=True)
+                found = [x or "" for x in label(part["sentence"].tolist())]
+                again = [j for j, x in enumerate(found) if not x]
+                for j, x in zip(again, label([part["noun"][j] for j in again]) if again else [], strict=True):
+                    found[j] = x or ""
+                yield pd.DataFrame({"noun": part["noun"], "label": found})
+
+    src = nouns.select("noun").where("noun <> ''").select("noun", T.generic_sentence(F.col("noun"), h_aspirated).alias("sentence"))
+    return src.mapInPandas(run, "noun string, label string")

@@ -159,3 +159,13 @@ def running_ids(rows: DataFrame, order_col: str, name: str) -> DataFrame:
     before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))  # one row per partition
     inside = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order_col)))
     return inside.join(F.broadcast(before), "__p").withColumn(name, (F.col("__b") + F.col("__r")).cast("bigint")).drop("__p", "__b", "__r")
+
+
+def gendered_labels(entities: DataFrame, female: DataFrame, male: DataFrame) -> DataFrame:
+    """Entities with a female label, their male label if any, without those described as a title of nobility.
+
+    ``entities``: (entity, entityLabel, description), ``female`` and ``male``: (entity, label). No description is no reason to leave out.
+    """
+    kept = entities.where(F.col("description").isNull() | (F.col("description") != "titre de noblesse")).select("entity", "entityLabel")
+    out = kept.join(female.select("entity", F.col("label").alias("entity_female_label")), "entity")
+    return out.join(male.select("entity", F.col("label").alias("entity_male_label")), "entity", "left").distinct()

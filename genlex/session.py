@@ -26,12 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/genlex-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back: lineage ends there and survives lost executors.
 
     Column types and names are kept; row order is not. Needs unique column names.
     """
     path = shared_dir(df.sparkSession)
+    _made.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -43,3 +47,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder of ours through the Hadoop file system it lives on."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that ``materialize`` made in this process; call it when the results that read them are written. Returns their number."""
+    count = len(_made)
+    while _made:
+        delete_path(spark, _made.pop())
+    return count

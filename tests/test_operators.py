@@ -254,3 +254,23 @@ def test_one_hop(spark):
     e = spark.createDataFrame([("actrice", "acteur, femme"), ("x", "autre")], "word string, definition string")
     assert rows(clean.expand_one_hop(known, e)) == [("actrice", "acteur", "acteur, femme")]
     assert T.TOKEN
+
+
+def test_labels_of_nouns(spark):
+    load = lambda: lambda texts: ["NH-Mét" if t.endswith("échecs.") and "boulanger" in t else "Autre" if t == "roi" else "" for t in texts]
+    got = annotate.label_nouns(words(spark, "boulanger", "roi", "xyz", None, ""), load, [], batch=2)
+    assert rows(got) == [("boulanger", "NH-Mét"), ("roi", "Autre"), ("xyz", "")]
+
+
+def test_gendered_labels(spark):
+    e = spark.createDataFrame([("q1", "acteur", None), ("q2", "duc", "titre de noblesse"), ("q3", "roi", "monarque")], "entity string, entityLabel string, description string")
+    f = spark.createDataFrame([("q1", "actrice"), ("q2", "duchesse")], "entity string, label string")
+    m = spark.createDataFrame([("q9", "x")], "entity string, label string")
+    assert rows(lexicon.gendered_labels(e, f, m)) == [("q1", "acteur", "actrice", None)]
+
+
+def test_release(spark):
+    from genlex import session
+
+    df = session.materialize(words(spark, "a"))
+    assert df.count() == 1 and session.release(spark) >= 1 and session.release(spark) == 0

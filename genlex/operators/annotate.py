@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genlex.functions import text as T
@@ -17,28 +17,54 @@ PRONOUNS = "je tu il elle on nous vous ils elles qui que quoi celui celle ceux c
 
 
 def raw_tokens(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(text_id, i, sent_id, text)`` for every token; i counts from 0 over the text. Null and empty texts have no rows."""
+    """``(text_id, i, sent_id, text, p_text)`` for every token; i counts from 0 over the text, p_text is the token before.
+
+    The neighbour comes from the token array before it is exploded: no window, no shuffle. Null and empty texts have no rows.
+    """
     per_sentence = F.transform(T.sentences(F.col(text_col)), lambda s, k: F.transform(T.tokens(s), lambda t: F.struct(k.alias("sent_id"), t.alias("text"))))
-    exploded = texts.select(F.col(id_col).alias("text_id"), F.posexplode(F.flatten(per_sentence)).alias("i", "t"))
-    return exploded.select("text_id", "i", "t.sent_id", "t.text")
+    split = texts.select(F.col(id_col).alias("text_id"), F.flatten(per_sentence).alias("toks"))
+    shifted = F.concat(F.array(F.lit(None).cast("struct<sent_id:int,text:string>")), F.col("toks"))
+    pairs = F.zip_with("toks", shifted, lambda t, p: F.struct(t["sent_id"].alias("sent_id"), t["text"].alias("text"), p["text"].alias("p_text")))
+    exploded = split.select("text_id", F.posexplode(pairs).alias("i", "t")).where("t.text is not null")
+    return exploded.select("text_id", "i", "t.sent_id", "t.text", "t.p_text")
+
+
+def _low(text: Column) -> Column:
+    return F.lower(F.replace(text, F.lit("’"), F.lit("'")))
+
+
+def _form(text: Column) -> Column:
+    """The form to look up: an inclusive form by its stem, a form with a capital ending without it."""
+    low = _low(text)
+    stem = F.regexp_extract(low, r"^\p{L}+(?:-\p{L}+)*", 0)
+    capital_tail = F.regexp_extract(text, r"^(\p{Lu}?\p{Ll}+)\p{Lu}+$", 1)
+    plain = text.rlike(r"^\p{Ll}+$")  # most tokens: they need no other pattern
+    return F.when(plain, text).when(text.rlike(r"\p{Ll}\p{Lu}+$"), F.lower(capital_tail)).when(low.rlike(T.SEPARATOR_CLASS), stem).otherwise(low)
+
+
+def _pos(found: Column, text: Column) -> Column:
+    low = _low(text)
+    closed = F.when(low.isin(*DETERMINERS), "DET").when(low.isin(*PRONOUNS), "PRON").when(~low.rlike(r"[\p{L}\p{N}]"), "PUNCT").when(low.rlike(r"^\p{N}+$"), "NUM").otherwise("X")
+    return F.coalesce(found, F.when(text.isNotNull(), closed))
 
 
 def rule_annotate(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     """Deterministic annotator: forms are looked up in ``lexicon(form, lemma, pos)``, inclusive forms by their stem.
 
-    Forms in no list get pos ``X`` and themselves as lemma; dep and morph are empty. Its results are its own: a statistical
-    tagger differs. A lexicon form should be unique; of several the smallest (pos, lemma) counts. The lexicon join is left to
-    Spark's own size check, so a large lexicon is not broadcast.
+    Forms in no list get pos ``X`` and themselves as lemma; dep and morph are empty. Beside the token columns it gives text and
+    pos of the token before (``p_text``, ``p_pos``). Its results are its own: a statistical tagger differs. A lexicon form should
+    be unique; of several the smallest (pos, lemma) counts. The lexicon joins are left to Spark's own size check, so a large
+    lexicon is not broadcast.
     """
-    toks = raw_tokens(texts, id_col, text_col).withColumn("low", F.lower(F.replace("text", F.lit("’"), F.lit("'"))))
-    stem = F.regexp_extract("low", r"^\p{L}+(?:-\p{L}+)*", 0)
-    capital_tail = F.regexp_extract("text", r"^(\p{Lu}?\p{Ll}+)\p{Lu}+$", 1)
-    key = F.when(F.col("text").rlike(r"\p{Ll}\p{Lu}+$"), F.lower(capital_tail)).when(F.col("low").rlike(T.SEPARATOR_CLASS), stem).otherwise(F.col("low"))
+    toks = raw_tokens(texts, id_col, text_col)
     forms = lexicon.groupBy(F.lower("form").alias("form")).agg(F.min(F.struct("pos", "lemma")).alias("e")).select("form", F.col("e.lemma").alias("lex_lemma"), F.col("e.pos").alias("lex_pos"))
-    joined = toks.withColumn("form", key).join(forms, "form", "left")
-    pos = F.coalesce("lex_pos", F.when(F.col("low").isin(*DETERMINERS), "DET").when(F.col("low").isin(*PRONOUNS), "PRON").when(~F.col("low").rlike(r"[\p{L}\p{N}]"), "PUNCT").when(F.col("low").rlike(r"^\p{N}+$"), "NUM").otherwise("X"))
+    before = forms.select(F.col("form").alias("p_form"), F.col("lex_pos").alias("p_lex_pos"))
+    joined = toks.withColumn("form", _form(F.col("text"))).join(forms, "form", "left").withColumn("p_form", _form(F.col("p_text"))).join(before, "p_form", "left")
     empty = F.create_map().cast("map<string,string>")
-    return joined.select(F.col("text_id"), "i", "sent_id", "text", F.coalesce("lex_lemma", "low").alias("lemma"), pos.alias("pos"), F.lit("").alias("dep"), empty.alias("morph"))
+    return joined.select(
+        "text_id", "i", "sent_id", "text", F.coalesce("lex_lemma", _low(F.col("text"))).alias("lemma"), _pos(F.col("lex_pos"), F.col("text")).alias("pos"), F.lit("").alias("dep"), empty.alias("morph"),
+        "p_text", _pos(F.col("p_lex_pos"), F.col("p_text")).alias("p_pos"),
+    )
 
 
 def model_annotate(texts: DataFrame, id_col: str, text_col: str, load, batch: int = 32) -> DataFrame:

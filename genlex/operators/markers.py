@@ -27,14 +27,31 @@ def masculine_generics(gated: DataFrame, generics: DataFrame) -> DataFrame:
 
 
 def epicene_generics(tokens: DataFrame, gated: DataFrame, epicenes: DataFrame) -> DataFrame:
-    """Epicene nouns right after a masculine determiner (its text is compared with case). Bag semantics as T6."""
-    order = Window.partitionBy("text_id").orderBy("i")
-    before = tokens.select("text_id", "i", F.lag("text").over(order).alias("p_text"), F.lag("pos").over(order).alias("p_pos"))
-    found = gated.join(epicenes.select(F.col("noun").alias("lemma")), "lemma").join(before, ["text_id", "i"])
+    """Epicene nouns right after a masculine determiner (its text is compared with case). Bag semantics as T6.
+
+    Token tables that carry the token before (``p_text``, ``p_pos``) need no window; others get it from one.
+    """
+    found = gated.join(epicenes.select(F.col("noun").alias("lemma")), "lemma")
+    if not {"p_text", "p_pos"} <= set(gated.columns):
+        order = Window.partitionBy("text_id").orderBy("i")
+        found = found.join(tokens.select("text_id", "i", F.lag("text").over(order).alias("p_text"), F.lag("pos").over(order).alias("p_pos")), ["text_id", "i"])
     found = found.where((F.col("p_pos") == "DET") & F.col("p_text").isin(*V.MASCULINE_DETERMINERS))
     return found.select("text_id", "i", "text", F.col("lemma").alias("masc_gen"), F.lit(1).alias("from_epicene"))
 
 
+def marker_counts(tokens: DataFrame, humans: DataFrame, generics: DataFrame, epicenes: DataFrame) -> DataFrame:
+    """``(text_id, human_noun_count, n_logs)``: what the scores need of T6-T8, in one pass over tokens that carry ``p_text`` and ``p_pos``.
+
+    Lists become (noun, how often), so a repeated entry still logs twice; each token meets at most one row of each list and
+    only per-text sums are shuffled. Texts without human noun have no row.
+    """
+    times = lambda words, name: words.groupBy(F.col("noun").alias("lemma")).agg(F.count(F.lit(1)).alias(name))
+    gated = human_nouns(tokens, humans).join(times(generics, "n_generic"), "lemma", "left").join(times(epicenes, "n_epicene"), "lemma", "left")
+    after_determiner = F.coalesce((F.col("p_pos") == "DET") & F.col("p_text").isin(*V.MASCULINE_DETERMINERS), F.lit(False))
+    logs = F.coalesce("n_generic", F.lit(0)) + F.when(after_determiner, F.coalesce("n_epicene", F.lit(0))).otherwise(0)
+    return gated.groupBy("text_id").agg(F.count(F.lit(1)).alias("human_noun_count"), F.sum(logs).alias("n_logs"))
+
+
 def neutral_nouns(gated: DataFrame) -> DataFrame:
     """Neutral words among the human tokens."""
     return gated.where(F.col("lemma").isin(*V.NEUTRAL_NOUNS)).select("text_id", "i", "text", F.col("lemma").alias("neutral"))

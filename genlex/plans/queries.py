@@ -96,10 +96,8 @@ def _generic_logs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     """Counts instead of collected logs: all that the scores need."""
-    _, gated, logs = _generic_logs(spark, d)
-    hn = gated.groupBy("text_id").agg(F.count(F.lit(1)).alias("human_noun_count"))
-    mg = logs.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_logs"))
-    j = _french(spark, d).select("dataset", "text_id").join(hn, "text_id", "left").join(mg, "text_id", "left")
+    counts = markers.marker_counts(_tokens(spark, d), _words(spark, HUMANS), _words(spark, GENERICS), _words(spark, EPICENES))
+    j = _french(spark, d).select("dataset", "text_id").join(counts, "text_id", "left")
     return scoring.text_scores(j.withColumn("masc_gen_logs", F.array_repeat(F.lit(1), F.coalesce("n_logs", F.lit(0)).cast("int"))))
 
 

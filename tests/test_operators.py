@@ -33,6 +33,20 @@ def test_gate_and_logs(spark):
     assert rows(markers.neutral_nouns(gated).select("neutral")) == [("gens",)]
 
 
+def test_counts_agree_with_logs(spark):
+    texts = spark.createDataFrame([("a", "Un médecin et le voisin. Ce voisin dort."), ("b", "La médecin, les gens."), ("c", "Rien.")], "id string, body string")
+    lex = spark.createDataFrame([(w, w, "NOUN") for w in ("médecin", "voisin", "gens")], "form string, lemma string, pos string")
+    t = annotate.rule_annotate(texts, "id", "body", lex)
+    h, g, e = words(spark, "médecin", "voisin", "gens"), words(spark, "voisin", "voisin"), words(spark, "médecin")
+    gated = markers.human_nouns(t, h)
+    logs = markers.masculine_generics(gated, g).unionByName(markers.epicene_generics(t, gated, e))
+    want = {r["text_id"]: r["count"] for r in logs.groupBy("text_id").count().collect()}
+    got = {r["text_id"]: (r["human_noun_count"], r["n_logs"]) for r in markers.marker_counts(t, h, g, e).collect()}
+    assert got == {"a": (3, 4), "b": (2, 0)} and want == {"a": 4}
+    plain = t.drop("p_text", "p_pos")  # the same through the window
+    assert rows(markers.epicene_generics(plain, markers.human_nouns(plain, h), e)) == rows(markers.epicene_generics(t, gated, e))
+
+
 def test_records_of_texts_without_tokens(spark):
     texts = spark.createDataFrame([("d", "t0", "Tous et toutes ici."), ("d", "t9", None)], "dataset string, text_id string, text string")
     rec = markers.records(texts, tokens(spark, [("voisin", "voisin", "NOUN")]), words(spark, "voisin"), words(spark, "voisin"), words(spark, "élève"))
@@ -44,7 +58,9 @@ def test_records_of_texts_without_tokens(spark):
 def test_rule_annotator(spark):
     texts = spark.createDataFrame([("a", "L’auteur·rice lit. Un Voisin!"), ("b", None)], "id string, body string")
     lex = spark.createDataFrame([("auteur", "auteur", "NOUN"), ("voisin", "voisin", "NOUN"), ("voisin", "voisiner", "VERB")], "form string, lemma string, pos string")
-    got = rows(annotate.rule_annotate(texts, "id", "body", lex).select("i", "sent_id", "text", "lemma", "pos"))
+    whole = annotate.rule_annotate(texts, "id", "body", lex)
+    assert [tuple(r) for r in whole.orderBy("i").select("p_text", "p_pos").collect()][:3] == [(None, None), ("L’", "DET"), ("auteur·rice", "NOUN")]
+    got = rows(whole.select("i", "sent_id", "text", "lemma", "pos"))
     assert got == [(0, 0, "L’", "l'", "DET"), (1, 0, "auteur·rice", "auteur", "NOUN"), (2, 0, "lit", "lit", "X"), (3, 0, ".", ".", "PUNCT"), (4, 1, "Un", "un", "DET"), (5, 1, "Voisin", "voisin", "NOUN"), (6, 1, "!", "!", "PUNCT")]
 
 

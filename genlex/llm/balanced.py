@@ -107,15 +107,16 @@ def balanced_sample(records: DataFrame, targets: DataFrame, size: int, fan_in: i
     """``(id, category)`` of the drawn records. ``records``: (id bigint unique, category), ``targets``: (category, target_share, min_rows).
 
     Inclusion probability of a record = quota of its category / records of its category, so a category that cannot fill its
-    quota is taken whole. Records of null or unlisted categories are never drawn. Level 0 flies inside the partitions the scan
+    quota is taken whole. Records without id and records of null or unlisted categories are never drawn. Level 0 flies inside the partitions the scan
     gives, whatever their categories: a category with a third of all records needs no shuffle. Each level then merges
     ``fan_in`` partitions' open records (at most one per category and partition) until one partition is left, where landing
     rounds the open records. The draw depends on the ids, the seed and the partitioning only. Empty tables: no rows.
     """
+    records = records.select("id", "category").where("id is not null")
     q = quotas(records.select(category_key(F.col("category")).alias("category")), targets, size)
     rate = q.where("available > 0").select(F.col("category").alias("key"), (F.col("quota") / F.col("available")).alias("p"))
     base = records.select(F.col("id").cast("bigint").alias("id"), category_key(F.col("category")).alias("category"))
-    base = base.join(F.broadcast(rate), base["category"] == rate["key"]).select("id", "category", "p").where("p > 0")  # one row per target category
+    base = base.join(F.broadcast(rate), base["category"] == rate["key"]).select("id", "category", "p").where("p > 0 and id is not null")  # one row per target category
     schema = "id bigint, category string, p double"
     flown = materialize(base.mapInPandas(_fly(seed), schema))
     taken, open_, level, parts = [flown.where("p = 1")], flown.where("p < 1"), 1, 0
@@ -153,5 +154,5 @@ def instruction_records(pairs: DataFrame) -> DataFrame:
     """``(id, category)``: each distinct non-blank instruction of a source once, by its smallest pair_id. Partially combined: repeats shuffle once."""
     text = F.regexp_replace(F.col("instruction"), f"^{BLANKS}|{BLANKS}$", "")
     src = pairs.select(F.col("pair_id").cast("bigint").alias("pid"), category_key(F.col("source")).alias("category"), text.alias("text"))
-    src = src.where("category is not null and text is not null and text <> ''")
+    src = src.where("pid is not null and category is not null and text <> ''")
     return src.groupBy("category", "text").agg(F.min("pid").alias("id")).select("id", "category")

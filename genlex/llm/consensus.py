@@ -58,10 +58,11 @@ def reliability(votes: DataFrame, item: list[str], smoothing: float = 2.0, toler
     votes that agree (items that the others leave undecided count half; an annotator alone on an item gets no information
     from it). Weight = log odds of the accuracy, at least 0: who is no better than chance has no say. Ends when no accuracy
     moves by more than ``tolerance``, or after ``max_rounds``; weighted voting may alternate between two states for ever.
-    Each round is two partially combined aggregates and one join over the written votes, an item or annotator may hold a
+    Votes without annotator or label are left out. Each round is two partially combined aggregates and one join over the written votes, an item or annotator may hold a
     third of all rows; one number per round comes to the driver.
     """
-    v = materialize(votes.select(*item, "annotator", (F.col("label") * 2 - 1).alias("sign")))
+    rated = votes.where("annotator is not null and label is not null")
+    v = materialize(rated.select(*item, "annotator", (F.col("label") * 2 - 1).alias("sign")))
     prior = F.lit(0.7)
     weights = materialize(v.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_items")).select("annotator", "n_items", F.lit(0.5).cast("double").alias("accuracy"), F.lit(1.0).alias("weight")))
     for _ in range(max_rounds):
@@ -88,7 +89,7 @@ def consensus(votes: DataFrame, weights: DataFrame, item: list[str]) -> DataFram
 
     ``observed`` is the share of annotator pairs that agree, null for an item with one vote.
     """
-    w = votes.join(weights.select("annotator", "weight"), "annotator")
+    w = votes.where("label is not null").join(weights.select("annotator", "weight"), "annotator")
     sums = w.groupBy(*item).agg(F.count(F.lit(1)).alias("n_votes"), F.sum(F.col("label").cast("bigint")).alias("n_ones"), F.sum((F.col("label") * 2 - 1) * F.col("weight")).alias("say"), F.sum("weight").alias("all"))
     say = F.round("say", 9)
     label = F.when(say > 0, 1).when(say < 0, 0).when(F.col("n_ones") * 2 > F.col("n_votes"), 1).otherwise(0)

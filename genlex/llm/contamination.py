@@ -174,12 +174,12 @@ def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, one_in:
     """``(doc_id, item_id, n_words, n_changed, score, item_words)``: one row per document and item of which it holds the whole
     text or at least ``least_words`` consecutive words, at most one word in ``one_in`` of them changed.
 
-    ``documents``: (doc_id, text), ``items``: (item_id, text); other columns are ignored. Null and wordless texts match nothing,
+    ``documents``: (doc_id, text), ``items``: (item_id, text); other columns are ignored. Rows without id and null or wordless texts match nothing,
     repeated document rows give one row per id, empty tables none. All documents are searched in full with all runs of words;
     only ids and 8-byte hashes of runs that are seeds leave the scan, and texts are read again for candidates only. Documents
     are never grouped, so a text that makes up a third of all rows is no hot key.
     """
-    prepared = items.select("item_id", words_of_tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
+    prepared = items.where("item_id is not null").select("item_id", words_of_tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
     n_words = F.element_at("toks", -1)["w"] + 1
     lengths = F.udf(lambda n: seed_length(n, least_words, one_in), "int")
     prepared = materialize(prepared.select("item_id", "toks", lengths(n_words).alias("n")))  # one number per item: the bench set is small against the corpus
@@ -195,7 +195,7 @@ def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, one_in:
     seeds = materialize(seeds)
     if seeds.count() <= MAX_BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     found = texts.select("doc_id", tokens(F.col("text")).alias("toks"))
     found = found.select("doc_id", F.explode(F.array_distinct(F.concat(*[grams(F.col("toks"), n) for n in sizes]))).alias("gram"))
     candidates = materialize(found.join(seeds, "gram").select("doc_id", "item_id").distinct())

@@ -29,7 +29,7 @@ def test_flight_is_fair():
 def sample_inputs(spark, n=(900, 90, 9)):
     rows = [(k * 10_000 + i, s) for k, (s, m) in enumerate(zip(("Big-one", " mid", "tiny"), n, strict=True)) for i in range(m)]
     targets = spark.createDataFrame([("big_one", 0.5, 10), ("MID", 0.3, 10), ("tiny", 0.1, 20), ("none", 0.1, 5), (None, 0.5, 1)], "category string, target_share double, min_rows long")
-    return spark.createDataFrame([*rows, (1_000_000, None), (1_000_001, "other")], "id long, category string"), targets
+    return spark.createDataFrame([*rows, (1_000_000, None), (1_000_001, "other"), (None, "tiny")], "id long, category string"), targets
 
 
 def test_balanced_sample(spark):
@@ -51,7 +51,7 @@ def test_sample_of_nothing(spark):
 
 
 def test_instructions_count_once(spark):
-    rows = [(5, "a", " x "), (3, "A ", "x"), (4, "a", None), (6, "a", " "), (7, None, "x"), (8, "a-b", "y"), (9, "A_B", "y")]
+    rows = [(5, "a", " x "), (3, "A ", "x"), (4, "a", None), (6, "a", " "), (7, None, "x"), (8, "a-b", "y"), (9, "A_B", "y"), (None, "a", "z")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "pair_id long, source string, instruction string, text string")
     assert sorted(tuple(r) for r in B.instruction_records(df).collect()) == [(3, "a"), (8, "a_b")]
 
@@ -97,7 +97,7 @@ def test_reliability_finds_the_careless(spark):
 
 
 def test_agreement_and_ties(spark):
-    v = votes(spark, [(1, "a", 1), (1, "b", 1), (2, "a", 0), (2, "b", 0), (3, "a", 1), (4, "a", 1), (4, "b", 0)])
+    v = votes(spark, [(1, "a", 1), (1, "b", 1), (2, "a", 0), (2, "b", 0), (3, "a", 1), (4, "a", 1), (4, "b", 0), (4, None, 1), (4, "c", None)])
     items = C.consensus(v, C.reliability(v, ["item"]), ["item"])
     got = {r["item"]: r for r in items.collect()}
     assert (got[1]["consensus"], got[1]["observed"], got[3]["observed"], got[4]["n_ones"]) == (1, 1.0, None, 1)

@@ -122,6 +122,18 @@ def longest_window(columns: list[tuple[int, int]], doc: np.ndarray, item: np.nda
     return best
 
 
+def can_hold(part: np.ndarray, item: np.ndarray, word: np.ndarray, need: int, one_in: int) -> bool:
+    """Whether enough words of the item occur in this stretch at all; False rules a passage out exactly.
+
+    A passage of n words has at most n / one_in words that do not occur. Cut into pieces of ``need`` to 2 ``need`` - 1 words, one
+    piece has no larger share of them, so looking at windows of these lengths is enough.
+    """
+    absent = np.zeros(int(word[-1]) + 1, dtype=np.int64)
+    np.maximum.at(absent, word, (~np.isin(item, part)).astype(np.int64))
+    total = np.concatenate([[0], np.cumsum(absent)])
+    return any((total[n:] - total[:-n]).min() * one_in <= n for n in range(need, min(2 * need - 1, len(absent)) + 1))
+
+
 def _score(least_words: int, one_in: int):
     def clusters(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int]]:
         """Stretches of the document round the seeds, so that long documents are aligned only where the item can be."""
@@ -154,7 +166,8 @@ def _score(least_words: int, one_in: int):
                 best = (0, 0, 0)
                 for a, b in clusters(doc, item, int(n)):
                     part = doc[a:b].copy()
-                    while True:  # the best alignment need not be the one that holds the passage: go on with the rest of the stretch
+                    # the best alignment need not be the one that holds the passage: go on with the rest of the stretch
+                    while can_hold(part, item, word, need, one_in):
                         score, columns = align(part, item)
                         if score < least_score:
                             break

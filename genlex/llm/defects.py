@@ -85,11 +85,15 @@ def _words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _decide(counts: dict[str, Column]) -> Column:
     """The key with the highest count, if twice as high as any other and at least two more; else null."""
     ranked = F.array_sort(F.array(*[F.struct((-c).alias("n"), F.lit(k).alias("k")) for k, c in counts.items()]))
-    first, second = -ranked[0]["n"], -ranked[1]["n"]
-    return F.when((first >= second + 2) & (first >= 2 * second), ranked[0]["k"])
+    return _let(ranked, lambda r: F.when((r[1]["n"] - r[0]["n"] >= 2) & (r[0]["n"] <= 2 * r[1]["n"]), r[0]["k"]))
 
 
 def language_of(text: Column) -> Column:
@@ -100,10 +104,9 @@ def language_of(text: Column) -> Column:
     lists = {k: set(v.split()) for k, v in FUNCTION_WORDS.items()}
     own = {k: sorted(w for w in v if not any(w in o for j, o in lists.items() if j != k)) for k, v in lists.items()}
     low = _plain(F.coalesce(text, F.lit("")))
-    words = F.split(low, r"[^\p{L}]+")
     among = lambda v: lambda w: w.isin(*v)
-    hits = {k: F.size(F.filter(words, among(v))) for k, v in own.items()}
-    return _decide({k: n + F.regexp_count(low, F.lit(f"[{OWN_LETTERS[k]}]")) if OWN_LETTERS[k] else n for k, n in hits.items()})
+    letters = {k: F.regexp_count(low, F.lit(f"[{OWN_LETTERS[k]}]")) if OWN_LETTERS[k] else F.lit(0) for k in own}
+    return _let(F.split(low, r"[^\p{L}]+"), lambda words: _decide({k: F.size(F.filter(words, among(v))) + letters[k] for k, v in own.items()}))
 
 
 def script_of(text: Column) -> Column:

@@ -213,6 +213,8 @@ def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, one_in:
     found = found.select("doc_id", F.explode(F.array_distinct(F.concat(*[grams(F.col("toks"), n) for n in sizes]))).alias("gram"))
     candidates = materialize(found.join(seeds, "gram").select("doc_id", "item_id").distinct())
     chosen = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    pairs = chosen.select("doc_id", tokens(F.col("text")).alias("doc_toks")).join(candidates, "doc_id").join(prepared.select("item_id", F.col("toks").alias("item_toks"), "n"), "item_id")
     tasks = max(1, -(-candidates.count() // PAIRS_PER_TASK))
-    return pairs.select("doc_id", "item_id", "doc_toks", "item_toks", "n").repartition(tasks).mapInPandas(_score(least_words, one_in), out_schema)
+    # both sides by doc_id into as many parts as the alignment needs: a text is shuffled once, not once for each of its items
+    found_toks = chosen.repartition(tasks, "doc_id").select("doc_id", tokens(F.col("text")).alias("doc_toks"))
+    pairs = found_toks.join(candidates.repartition(tasks, "doc_id"), "doc_id").join(prepared.select("item_id", F.col("toks").alias("item_toks"), "n"), "item_id")
+    return pairs.select("doc_id", "item_id", "doc_toks", "item_toks", "n").mapInPandas(_score(least_words, one_in), out_schema)

@@ -76,3 +76,6 @@ SPECIAL_SPLIT_WORDS = ("vice-premier", "alter ego", "persona non grata")
 BADLY_FORMATTED_WORDS = ("cryptocommuniste",)
 GENDER_SUFFIXES = {"eur": "euse", "ard": "arde", "er": "ère", "us": "use"}
 CONTEXT_CLASSES = {"bracket_text": "tlf_ccrochet", "indicator": "tlf_cemploi", "domain": "tlf_cdomaine", "phrase": "tlf_csyntagme"}
+# spellings of two speakers (lower case)
+USER_NAMES = "user prompter human utilisateur utilisatrice humain usuario benutzer nutzer customer client".split()
+ASSISTANT_NAMES = "assistant assistante bot chatbot gpt chatgpt ai ia model modèle asistente assistent agent".split()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from genlex.operators.threads import thread_members
 from genlex.session import delete_path, materialize, shared_dir
 
 from .lookalikes import BLANKS
@@ -60,36 +61,6 @@ def latest_messages(messages: DataFrame) -> DataFrame:
     return last.select("id", "v.parent", "v.speaker", F.coalesce(F.col("v.content").rlike(r"[\p{L}\p{N}]"), F.lit(False)).alias("readable"), "v.content", F.col("v.at").alias("at"))
 
 
-def thread_members(links: DataFrame) -> DataFrame:
-    """``(leaf, id, back)``: each message of the thread that ends in ``leaf``, ``back`` steps before it.
-
-    ``links``: (id, parent), ids unique. Threads whose top has no parent row are given up to the last row that exists; those
-    that run into a loop are left out. Round k joins with the 2^k-th ancestors, so twenty rounds cover threads of a million
-    messages. Every join has one side with unique keys, which lets a message with very many descendants be split.
-    """
-    known = links.select(F.col("id").alias("up"))
-    jumps = [materialize(links.where("parent is not null").join(known, F.col("parent") == F.col("up"), "left_semi").select("id", F.col("parent").alias("up")))]
-    count = jumps[0].count()
-    while count:
-        j = jumps[-1]
-        nxt = materialize(j.alias("a").join(j.alias("b"), F.col("a.up") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.up").alias("up")))
-        n = nxt.count()
-        if n == count:  # no thread ends between 2^k and 2^(k+1) steps up: what is left runs in loops
-            break
-        jumps.append(nxt)
-        count = n
-    else:
-        nxt = None
-    leaves = links.select(F.col("id").alias("leaf")).join(links.select(F.col("parent").alias("leaf")), "leaf", "left_anti")
-    if nxt is not None:
-        leaves = leaves.join(nxt.select(F.col("id").alias("leaf")), "leaf", "left_anti")
-    members = leaves.select("leaf", F.col("leaf").alias("id"), F.lit(0).cast("bigint").alias("back"))
-    for k, j in enumerate(jumps[:-1] if nxt is None else jumps):
-        farther = members.join(j, "id").select("leaf", F.col("up").alias("id"), (F.col("back") + 2**k).alias("back"))
-        members = materialize(members.unionByName(farther))
-    return members
-
-
 def events(messages: DataFrame, per_key: int = 64) -> DataFrame:
     """The stream's input: one compact row per conversation and message, with the number of messages the conversation has.
 

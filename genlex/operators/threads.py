@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genlex.functions import values as V
 from genlex.session import materialize
 
 
@@ -27,6 +28,63 @@ def thread_paths(messages: DataFrame, max_depth: int = 1000) -> DataFrame:
     return done
 
 
+def thread_members(links: DataFrame) -> DataFrame:
+    """``(leaf, id, back)``: each message of the thread that ends in ``leaf``, ``back`` steps before it.
+
+    ``links``: (id, parent), ids unique. Threads whose top has no parent row are given up to the last row that exists; those
+    that run into a loop are left out. Round k joins with the 2^k-th ancestors, so twenty rounds cover threads of a million
+    messages. Every join has one side with unique keys, which lets a message with very many descendants be split.
+    """
+    known = links.select(F.col("id").alias("up"))
+    jumps = [materialize(links.where("parent is not null").join(known, F.col("parent") == F.col("up"), "left_semi").select("id", F.col("parent").alias("up")))]
+    count = jumps[0].count()
+    while count:
+        j = jumps[-1]
+        nxt = materialize(j.alias("a").join(j.alias("b"), F.col("a.up") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.up").alias("up")))
+        n = nxt.count()
+        if n == count:  # no thread ends between 2^k and 2^(k+1) steps up: what is left runs in loops
+            break
+        jumps.append(nxt)
+        count = n
+    else:
+        nxt = None
+    leaves = links.select(F.col("id").alias("leaf")).join(links.select(F.col("parent").alias("leaf")), "leaf", "left_anti")
+    if nxt is not None:
+        leaves = leaves.join(nxt.select(F.col("id").alias("leaf")), "leaf", "left_anti")
+    members = leaves.select("leaf", F.col("leaf").alias("id"), F.lit(0).cast("bigint").alias("back"))
+    for k, j in enumerate(jumps[:-1] if nxt is None else jumps):
+        farther = members.join(j, "id").select("leaf", F.col("up").alias("id"), (F.col("back") + 2**k).alias("back"))
+        members = materialize(members.unionByName(farther))
+    return members
+
+
+def latest_turns(messages: DataFrame) -> DataFrame:
+    """``(id, parent, role, text)``: of the rows of one message the latest by ``ingested_at`` (null is the earliest), ties by the other values.
+
+    Ids compare without blanks around them, a blank parent is none, rows without id are left out. Roles are normal, missing text is ``""``.
+    """
+    own = messages.select(F.nullif(F.trim("message_id"), F.lit("")).alias("id"), F.struct("ingested_at", "created_at", F.coalesce(F.nullif(F.trim("parent_id"), F.lit("")), F.lit("")).alias("parent"), F.coalesce(speaker(F.col("role")), F.lit("")).alias("role"), F.coalesce("content", F.lit("")).alias("text")).alias("v"))
+    last = own.where("id is not null").groupBy("id").agg(F.max("v").alias("v"))
+    return last.select("id", F.nullif("v.parent", F.lit("")).alias("parent"), "v.role", "v.text")
+
+
+def dialogue_turns(turns: DataFrame) -> DataFrame:
+    """A18, D1-D4 in long form: ``(conv_id, root_id, role, n, text)``, one row per message of a speaker in every conversation, however many.
+
+    ``turns``: (id, parent, role, text), ids unique. A conversation is a path from a root (null parent) to a message without replies,
+    without its last message if that is the user's; conv_id is its last kept message, so paths that differ only in the message
+    cut off are one. A root without replies is none. System and unknown speakers count for neither.
+    """
+    members = thread_members(turns.select("id", "parent"))
+    ends = members.groupBy("leaf").agg(F.max_by("id", "back").alias("root_id"), F.max("back").alias("top"), F.max(F.when(F.col("back") == 1, F.col("id"))).alias("before"))
+    roots = turns.where("parent is null").select(F.col("id").alias("root_id"))
+    ends = ends.where("top > 0").join(roots, "root_id").join(turns.select(F.col("id").alias("leaf"), (F.col("role") == "user").alias("cut")), "leaf")
+    ends = ends.withColumn("cut", F.coalesce("cut", F.lit(False))).withColumn("conv_id", F.when(F.col("cut"), F.col("before")).otherwise(F.col("leaf")))
+    kept = ends.groupBy("conv_id").agg(F.min(F.struct("leaf", "root_id", "top", "cut")).alias("e")).select("conv_id", "e.*")
+    out = members.join(kept, "leaf").where("not (cut and back = 0)").join(turns, "id").select("conv_id", "root_id", (F.col("top") - F.col("back")).alias("turn"), "role", "text")
+    return role_ordinals(out).select("conv_id", "root_id", "role", "n", "text")
+
+
 def cut_last_user(turns: DataFrame) -> DataFrame:
     """Without the last message of a conversation if it is the user's. ``turns``: (conv_id, turn, role, text)."""
     last = turns.groupBy("conv_id").agg(F.max(F.struct("turn", "role")).alias("m")).select("conv_id", F.col("m.turn").alias("last_turn"), F.col("m.role").alias("last_role"))
@@ -38,6 +96,12 @@ def normal_role(turns: DataFrame) -> DataFrame:
     return turns.withColumn("role", F.when(F.col("role") == "prompter", "user").otherwise(F.col("role")))
 
 
+def speaker(role: Column) -> Column:
+    """D3 for tables that spell speakers in several ways: ``user`` or ``assistant`` for a spelling of it, without case and blanks; others as they are."""
+    bare = F.lower(F.trim(role))
+    return F.when(bare.isin(*V.USER_NAMES), "user").when(bare.isin(*V.ASSISTANT_NAMES), "assistant").otherwise(bare)
+
+
 def role_ordinals(turns: DataFrame) -> DataFrame:
     """The number of a message among its speaker's in a conversation; system messages count for neither."""
     own = Window.partitionBy("conv_id", "role").orderBy("turn")

@@ -287,6 +287,18 @@ def dialogue_wide(spark: SparkSession, d: str) -> DataFrame:
     return threads.wide_dialogues(_turns(spark, d), 2)
 
 
+@query(f"""with recursive v as (select nullif(trim(message_id, ' '), '') as id, nullif(trim(parent_id, ' '), '') as parent, lower(trim(role, ' ')) as r, coalesce(content, '') as text, ingested_at, created_at from messages),
+    s as (select id, parent, case when r in (select * from (values {_values(V.USER_NAMES)})) then 'user' when r in (select * from (values {_values(V.ASSISTANT_NAMES)})) then 'assistant' else coalesce(r, '') end as role, text, ingested_at, created_at from v where id is not null),
+    m as (select id, parent, role, text from s qualify row_number() over (partition by id order by ingested_at desc nulls last, created_at desc nulls last, coalesce(parent, '') desc, role desc, text desc) = 1),
+    t as (select id as root_id, id as last_id, [id] as path from m where parent is null union all select root_id, m.id, list_append(path, m.id) from t join m on m.parent = t.last_id),
+    l as (select root_id, case when m.role = 'user' then path[:-2] else path end as path from t join m on m.id = last_id where len(path) > 1 and last_id not in (select parent from m where parent is not null)),
+    c as (select distinct path[-1] as conv_id, root_id, path from l), x as (select conv_id, root_id, unnest(path) as id, generate_subscripts(path, 1) as turn from c)
+    select conv_id, root_id, role, (row_number() over (partition by conv_id, role order by turn))::int as n, text from x join m using (id) where role in ('user', 'assistant')""")
+def dialogue_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every message of every thread; dialogue_wide keeps the first two of each speaker of a user_id, as its SQL says"""
+    return threads.dialogue_turns(threads.latest_turns(table(spark, d, "messages")))
+
+
 @query(f"with {_TURNS_SQL} select conv_id, coalesce(arg_min(text, turn) filter (role = 'user'), '') as text from turns group by conv_id")
 def first_user(spark: SparkSession, d: str) -> DataFrame:
     """A19"""

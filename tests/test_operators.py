@@ -290,3 +290,11 @@ def test_release(spark):
 
     df = session.materialize(words(spark, "a"))
     assert df.count() == 1 and session.release(spark) >= 1 and session.release(spark) == 0
+
+
+def test_dialogue_turns_keep_every_message(spark):
+    m = [("r", None, "prompter"), ("a1", "r", "Assistant"), ("u2", "a1", " user"), ("a2", "u2", "bot"), ("u3", "a2", "human"), ("a3", "u3", "gpt"), ("u4", "a3", "user"), ("u5", "a3", "user"), ("s", "r", "moderator"), ("lone", None, "user"), ("o", "gone", "assistant")]
+    df = spark.createDataFrame([(i, p, role, i.upper(), None, None) for i, p, role in m], "message_id string, parent_id string, role string, content string, created_at timestamp, ingested_at timestamp")
+    got = rows(threads.dialogue_turns(threads.latest_turns(df)).select("conv_id", "role", "n", "text"))
+    whole = [("a3", "assistant", k, f"A{k}") for k in (1, 2, 3)] + [("a3", "user", 1, "R"), ("a3", "user", 2, "U2"), ("a3", "user", 3, "U3")]
+    assert got == sorted([*whole, ("s", "user", 1, "R")])

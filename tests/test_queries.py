@@ -53,3 +53,11 @@ def test_filter_and_columns_reach_the_scan(spark):
 def test_text_operators_stay_in_the_jvm(spark):
     for name in ("m_score_by_source", "marker_rates", "dedup_sequential", "seed_cosine"):
         assert "Python" not in core.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_spelling_of_a_language_counts(spark, tmp_path):
+    docs = [(1, "Il faut lire.", "fr", "forum"), (2, "Il faut lire.", "FR", " forum"), (3, "Il faut lire.", "fr-FR", "FORUM"), (4, "Il faut lire.", " fr_CA ", None), (5, "Il faut lire.", None, "forum"), (6, "A person.", "EN", "Forum "), (7, "A person.", "en-EN", "forum"), (8, "A person.", "en", " ")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r[0] for r in core.QUERIES["whole_phrase_marker_counts"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
+    assert [tuple(r)[:2] for r in core.QUERIES["whole_definition_scores"](spark, str(tmp_path)).collect()] == [("forum", 1.0)]
+    assert {tuple(r) for r in core._all_french(spark, str(tmp_path)).select("dataset", "text_id").collect()} == {("forum", 1), ("forum", 2), ("forum", 3), ("none", 4)}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genlex.functions import text as T
+from genlex.session import materialize
 
 TOKEN_SCHEMA = "text_id string, i int, sent_id int, text string, lemma string, pos string, dep string, morph map<string,string>"
 # Closed word classes of the rule annotator.
@@ -67,6 +68,29 @@ def rule_annotate(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFra
     )
 
 
+def phrase_nouns(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Tokens where nouns of several words are one noun: the first word gets the noun as lemma and pos ``NOUN``, the others pos ``X``.
+
+    ``phrases``: (noun, n), n lower-case tokens joined by one blank, unique. A phrase lies within one sentence; of several that
+    start at a token the longest counts; one that starts inside another is left out. Only words that begin a phrase are joined with what
+    follows them. ``tokens`` is read several times: pass a written table.
+    """
+    low = tokens.select("text_id", "sent_id", "i", _low(F.col("text")).alias("w"))
+    firsts = phrases.select(F.split("noun", " ")[0].alias("w"), "n").distinct()
+    starts = low.join(firsts, "w").select("text_id", "sent_id", F.col("i").alias("at"), "n")
+    span = starts.join(low, ["text_id", "sent_id"]).where("i >= at and i < at + n")
+    spelt = span.groupBy("text_id", "at", "n").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("l"))
+    spelt = spelt.select("text_id", "at", "n", F.array_join(F.transform("l", lambda x: x["w"]), " ").alias("noun"))
+    hits = materialize(spelt.join(phrases, ["noun", "n"]).groupBy("text_id", "at").agg(F.max(F.struct("n", "noun")).alias("h")).select("text_id", "at", "h.n", "h.noun"))
+    heads = hits.select("text_id", F.col("at").alias("i"), "noun", F.lit(False).alias("inside"))
+    rest = hits.select("text_id", F.explode(F.sequence(F.col("at") + 1, F.col("at") + F.col("n") - 1)).alias("i"), F.lit(None).cast("string").alias("noun"), F.lit(True).alias("inside"))
+    marks = heads.unionByName(rest).groupBy("text_id", "i").agg(F.max("noun").alias("noun"), F.max("inside").alias("inside"))
+    out = tokens.join(marks, ["text_id", "i"], "left")
+    pos = F.when(F.col("inside"), "X").when(F.col("noun").isNotNull(), "NOUN").otherwise(F.col("pos"))
+    lemma = F.when(~F.col("inside") & F.col("noun").isNotNull(), F.col("noun")).otherwise(F.col("lemma"))
+    return out.withColumns({"pos": pos, "lemma": lemma}).select(*tokens.columns)
+
+
 def model_annotate(texts: DataFrame, id_col: str, text_col: str, load, batch: int = 32) -> DataFrame:
     """Annotation by a statistical model in Arrow batches. ``load()`` runs once per worker and returns ``annotate(list of texts)``,
     which gives for each text a list of (sent_id, text, lemma, pos, dep, morph dict). Null texts are skipped."""

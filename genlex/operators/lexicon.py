@@ -169,3 +169,23 @@ def gendered_labels(entities: DataFrame, female: DataFrame, male: DataFrame) ->
     kept = entities.where(F.col("description").isNull() | (F.col("description") != "titre de noblesse")).select("entity", "entityLabel")
     out = kept.join(female.select("entity", F.col("label").alias("entity_female_label")), "entity")
     return out.join(male.select("entity", F.col("label").alias("entity_male_label")), "entity", "left").distinct()
+
+
+def noun_key(noun: Column) -> Column:
+    """A noun as token forms are written: lower case, no invisible characters, its tokens joined by one blank; ``""`` if there are none."""
+    plain = F.replace(F.regexp_replace(noun, r"\p{Cf}", ""), F.lit("’"), F.lit("'"))
+    return F.array_join(T.tokens(F.lower(F.regexp_replace(plain, r"[\s\p{Z}]+", " "))), " ")
+
+
+def best_values(entries: DataFrame, origins: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per noun key with, for each column, the value of the most trusted, then latest, then first row that has one; ``""`` if none has.
+
+    ``entries``: (entry_id, noun, origin, updated_at, columns), ``origins``: (origin, trust_rank), unique. Stand-ins are no values; unlisted origins rank last.
+    """
+    e = entries.join(origins, "origin", "left").withColumn("noun", noun_key(F.col("noun"))).where("noun <> ''")
+    order = [F.coalesce("trust_rank", F.lit(2**31 - 1)), F.coalesce(-F.unix_micros("updated_at"), F.lit(2**63 - 1)), F.col("entry_id")]
+    best = []
+    for c in columns:
+        value = F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+        best.append(F.coalesce(F.min(F.when(~F.lower(value).isin(*V.STAND_INS), F.struct(*order, value.alias("value"))))["value"], F.lit("")).alias(c))
+    return e.groupBy("noun").agg(*best)

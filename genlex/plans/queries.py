@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genlex.functions import text as T
 from genlex.functions import values as V
 from genlex.operators import agreement, annotate, clean, features, filters, lexicon, markers, report, sampling, scoring, threads, validate
-from genlex.session import table
+from genlex.session import materialize, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -107,54 +111,74 @@ TOKENS_SQL = f"""
 """
 
 
-def _generic_logs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    toks = _tokens(spark, d)
-    gated = markers.human_nouns(toks, _words(spark, HUMANS))
-    logs = markers.masculine_generics(gated, _words(spark, GENERICS)).unionByName(markers.epicene_generics(toks, gated, _words(spark, EPICENES)))
+@dataclass(frozen=True)
+class Words:
+    """The texts and word lists that a query works on; each is a function of (spark, folder)."""
+
+    french: Callable
+    tokens: Callable
+    humans: Callable
+    generics: Callable
+    epicenes: Callable
+    determined: Callable
+    classes: Callable
+
+
+def _inline(words: list[str]) -> Callable:
+    return lambda spark, d: _words(spark, words)
+
+
+INLINE = Words(_french, _tokens, _inline(HUMANS), _inline(GENERICS), _inline(EPICENES), _inline(DETERMINED), lambda spark, d: spark.createDataFrame(CLASSES, "noun string, class string, subclass string"))
+
+
+def _generic_logs(spark: SparkSession, d: str, words: Words = INLINE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    toks = words.tokens(spark, d)
+    gated = markers.human_nouns(toks, words.humans(spark, d))
+    logs = markers.masculine_generics(gated, words.generics(spark, d)).unionByName(markers.epicene_generics(toks, gated, words.epicenes(spark, d)))
     return toks, gated, logs
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
+def _scores(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """Counts instead of collected logs: all that the scores need."""
-    counts = markers.marker_counts(_tokens(spark, d), _words(spark, HUMANS), _words(spark, GENERICS), _words(spark, EPICENES))
-    j = _french(spark, d).select("dataset", "text_id").join(counts, "text_id", "left")
+    counts = markers.marker_counts(words.tokens(spark, d), words.humans(spark, d), words.generics(spark, d), words.epicenes(spark, d))
+    j = words.french(spark, d).select("dataset", "text_id").join(counts, "text_id", "left")
     return scoring.text_scores(j.withColumn("masc_gen_logs", F.array_repeat(F.lit(1), F.coalesce("n_logs", F.lit(0)).cast("int"))))
 
 
 @query(f"with {TOKENS_SQL} select dataset, count(*) as n_texts, count(*) filter (hn > 0) as n_scored, sum(hn)::bigint as total_hn, sum(mg)::bigint as total_mg, round(case when sum(hn) > 0 then sum(mg) / sum(hn) end, 6) as overall_m_score, round(avg(mg / hn) filter (hn > 0), 6) as mean_m_score, round(avg((mg > 0)::int) filter (hn > 0), 6) as bias_rate from per_text group by dataset")
-def m_score_by_source(spark: SparkSession, d: str) -> DataFrame:
+def m_score_by_source(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """F1 J4 J5 T6-T8 A4-A7 V3 V4"""
-    return scoring.dataset_scores(_scores(spark, d))
+    return scoring.dataset_scores(_scores(spark, d, words))
 
 
 @query(f"with {TOKENS_SQL} select dataset, floor(round(mg / hn * 10, 9))::int as bin, count(*) as n from per_text where hn > 0 group by 1, 2")
-def m_score_histogram(spark: SparkSession, d: str) -> DataFrame:
+def m_score_histogram(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """A8 R1"""
-    return scoring.histogram(_scores(spark, d))
+    return scoring.histogram(_scores(spark, d, words))
 
 
 @query(f"with {TOKENS_SQL}, r as (select dataset, round(100 * avg((mg > 0)::int) filter (hn > 0), 6) as bias_rate_pct, round(100.0 * count(*) filter (raw_mg > 0) / count(*), 6) as coverage_pct from per_text group by 1) select *, row_number() over (order by coverage_pct desc, dataset)::int as rank from r")
-def use_rate(spark: SparkSession, d: str) -> DataFrame:
+def use_rate(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """A10 A11 R3"""
-    return report.use_rate(_scores(spark, d))
+    return report.use_rate(_scores(spark, d, words))
 
 
 @query(f"with {TOKENS_SQL} select text_id, i::int as i, lemma as masc_gen, from_epicene::int as from_epicene from logs")
-def masculine_generic_logs(spark: SparkSession, d: str) -> DataFrame:
+def masculine_generic_logs(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """T6 T7 A20 J5"""
-    return _generic_logs(spark, d)[2].select("text_id", "i", "masc_gen", "from_epicene")
+    return _generic_logs(spark, d, words)[2].select("text_id", "i", "masc_gen", "from_epicene")
 
 
 @query(f"with {TOKENS_SQL} select text_id, i::int as i, text as token, separator, upper_ as upper from gated where separator is not null or upper_ is not null")
-def inclusive_forms(spark: SparkSession, d: str) -> DataFrame:
+def inclusive_forms(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """T8 T9 T10"""
-    return markers.human_nouns(_tokens(spark, d), _words(spark, HUMANS)).where("separator is not null or upper is not null").select("text_id", "i", F.col("text").alias("token"), "separator", "upper")
+    return markers.human_nouns(words.tokens(spark, d), words.humans(spark, d)).where("separator is not null or upper is not null").select("text_id", "i", F.col("text").alias("token"), "separator", "upper")
 
 
 @query(f"with {TOKENS_SQL} select text_id, i::int as i, lemma as neutral from gated where lemma in ('personne', 'personnes', 'individu', 'individus', 'gens')")
-def neutral_noun_logs(spark: SparkSession, d: str) -> DataFrame:
+def neutral_noun_logs(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """T11"""
-    return markers.neutral_nouns(markers.human_nouns(_tokens(spark, d), _words(spark, HUMANS))).select("text_id", "i", "neutral")
+    return markers.neutral_nouns(markers.human_nouns(words.tokens(spark, d), words.humans(spark, d))).select("text_id", "i", "neutral")
 
 
 def _count_phrases(phrases) -> str:
@@ -174,57 +198,57 @@ def phrase_marker_counts(spark: SparkSession, d: str, french=_french) -> DataFra
 @query(f"""with {TOKENS_SQL}, ph as (select text_id, {_count_phrases(V.INCLUSIVE_GREETINGS)} as g, {_count_phrases(V.INCLUSIVE_PAIRS)} as p, {_count_phrases(V.NEUTRAL_PRONOUNS)} as n from french),
     t as (select f.dataset, f.text_id, g > 0 as incl_greetings, n > 0 as neutral_prons, p > 0 as incl_pairs, text_id in (select text_id from gated where lemma in ('personne', 'personnes', 'individu', 'individus', 'gens')) as neutral_words, text_id in (select text_id from gated where separator is not null or upper_ is not null) as fem_endings from french f join ph using (text_id))
     select dataset, marker, sum(v::int)::bigint as count, round(100.0 * sum(v::int) / count(*), 6) as pct from (unpivot t on incl_greetings, neutral_prons, incl_pairs, neutral_words, fem_endings into name marker value v) group by dataset, marker""")
-def marker_rates(spark: SparkSession, d: str) -> DataFrame:
+def marker_rates(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """T12-T17 A9 R4 F20"""
-    rec = markers.records(_french(spark, d), _tokens(spark, d), _words(spark, HUMANS), _words(spark, GENERICS), _words(spark, EPICENES))
+    rec = markers.records(words.french(spark, d), words.tokens(spark, d), words.humans(spark, d), words.generics(spark, d), words.epicenes(spark, d))
     return report.marker_rates(rec.withColumns({"text_index": F.col("text_id"), "text_index_dataset": F.concat_ws("_", "dataset", F.col("text_id").cast("string"))}))
 
 
 @query(f"with {TOKENS_SQL}, r as (select f.dataset, f.text_id, (select count(*) from gated g where g.text_id = f.text_id) as human_noun_count, (select count(*) from logs l where l.text_id = f.text_id) as n_logs from french f) select dataset, text_id, human_noun_count::int as human_noun_count, n_logs::int as n_logs from r")
-def text_records(spark: SparkSession, d: str) -> DataFrame:
+def text_records(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """T17"""
-    rec = markers.records(_french(spark, d), _tokens(spark, d), _words(spark, HUMANS), _words(spark, GENERICS), _words(spark, EPICENES))
+    rec = markers.records(words.french(spark, d), words.tokens(spark, d), words.humans(spark, d), words.generics(spark, d), words.epicenes(spark, d))
     return rec.select("dataset", "text_id", "human_noun_count", F.size("masc_gen_logs").alias("n_logs"))
 
 
 _CLASS_SQL = f"{TOKENS_SQL}, cls(noun, class, subclass) as (values {_values(CLASSES)}), dict as (select distinct noun, unnest(list_filter([class, subclass], lambda x: x <> '')) as class from cls), counts as (select dataset, class, count(distinct c.noun) as freq from (select distinct f.dataset, g.lemma as noun from gated g join french f using (text_id)) u join dict c using (noun) group by 1, 2), top as (select dataset, class, freq from counts qualify row_number() over (partition by dataset order by freq desc, class) <= 5)"
 
 
-def _class_counts(spark: SparkSession, d: str) -> DataFrame:
-    gated = markers.human_nouns(_tokens(spark, d), _words(spark, HUMANS))
-    nouns = gated.join(_french(spark, d).select("text_id", "dataset"), "text_id").select("dataset", F.col("lemma").alias("noun"))
-    dictionary = spark.createDataFrame(CLASSES, "noun string, class string, subclass string")
+def _class_counts(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
+    gated = markers.human_nouns(words.tokens(spark, d), words.humans(spark, d))
+    nouns = gated.join(words.french(spark, d).select("text_id", "dataset"), "text_id").select("dataset", F.col("lemma").alias("noun"))
+    dictionary = words.classes(spark, d)
     return report.class_counts(nouns, dictionary.withColumn("merged_classes", T.merged_classes(F.col("class"), F.col("subclass"))))
 
 
 @query(f"with {_CLASS_SQL} select * from top")
-def class_counts(spark: SparkSession, d: str) -> DataFrame:
+def class_counts(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """A2 D5 D6 R2"""
-    return _class_counts(spark, d)
+    return _class_counts(spark, d, words)
 
 
 @query(f"with {_CLASS_SQL}, best as (select class from (select class, sum(freq) as t from top group by 1) order by t desc, class limit 5) select dataset, class, coalesce(freq, 0) as freq from (select distinct dataset from top) cross join best left join top using (dataset, class)")
-def top_classes(spark: SparkSession, d: str) -> DataFrame:
+def top_classes(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """A3"""
-    return report.top_classes(_class_counts(spark, d))
+    return report.top_classes(_class_counts(spark, d, words))
 
 
 _SPEC_SQL = "select distinct text_id from (select text_id, pos, lower(text) as low, lead(pos) over w as p1, lead(lemma) over w as l1, lead(pos, 2) over w as p2, lead(lemma, 2) over w as l2 from tokens window w as (partition by text_id order by i)) where low in ('mon', 'ton', 'son', 'sa', 'notre', 'votre', 'leur', 'ce', 'cet') and pos = 'DET' and ((p1 = 'NOUN' and l1 in (select noun from determined)) or (p1 = 'ADJ' and p2 = 'NOUN' and l2 in (select noun from determined)))"
 
 
 @query(f"with {TOKENS_SQL} {_SPEC_SQL}")
-def specific_determiners(spark: SparkSession, d: str) -> DataFrame:
+def specific_determiners(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """T1 A20"""
-    return filters.specific_determiner(_tokens(spark, d), _words(spark, DETERMINED))
+    return filters.specific_determiner(words.tokens(spark, d), words.determined(spark, d))
 
 
 @query(f"with {TOKENS_SQL}, bad as ({_SPEC_SQL} union select distinct text_id from tokens where pos = 'NOUN' and lemma in (select noun from generics)), neut as (select distinct text_id from tokens where pos = 'NOUN' and lemma in ('personne', 'personnes', 'individu', 'individus', 'gens')) select text_id, text_id in (select text_id from bad) as blanked, case when text_id not in (select text_id from bad) then (text_id in (select text_id from neut))::int end as neutral from french")
-def cell_filter(spark: SparkSession, d: str) -> DataFrame:
+def cell_filter(spark: SparkSession, d: str, words: Words = INLINE) -> DataFrame:
     """F14 T1 T2 T4"""
-    toks = _tokens(spark, d)
-    g = _words(spark, GENERICS)
-    flags = {"text": {"spec": filters.specific_determiner(toks, _words(spark, DETERMINED)), "generic": filters.masculine_generic(toks, g), "neutral": filters.neutral_word(toks)}}
-    out = filters.blank_cells(_french(spark, d).select("text_id", "text"), "text_id", ["text"], flags, neutral=True)
+    toks = words.tokens(spark, d)
+    g = words.generics(spark, d)
+    flags = {"text": {"spec": filters.specific_determiner(toks, words.determined(spark, d)), "generic": filters.masculine_generic(toks, g), "neutral": filters.neutral_word(toks)}}
+    out = filters.blank_cells(words.french(spark, d).select("text_id", "text"), "text_id", ["text"], flags, neutral=True)
     return out.select("text_id", F.col("text").isNull().alias("blanked"), "neutral")
 
 
@@ -632,3 +656,75 @@ def whole_phrase_marker_counts(spark: SparkSession, d: str) -> DataFrame:
 def whole_definition_scores(spark: SparkSession, d: str) -> DataFrame:
     """H2"""
     return _definition_scores(_in_language(spark, d, "en").where("source is not null"))
+
+
+# The same with the whole lexicon: every noun of lexicon_entries is a human noun and a masculine generic (the table is the dictionary of
+# generics), in one or more words, with the best class and subclass of its rows. The inline lists are an addition, each word once.
+def _lexicon_nouns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lexicon_entries").select(lexicon.noun_key(F.col("noun")).alias("noun")).where("noun <> ''").distinct()
+
+
+def _with_lexicon(words: list[str], without: tuple[str, ...] = ()) -> Callable:
+    return lambda spark, d: _lexicon_nouns(spark, d).where(~F.col("noun").isin(*without)).unionByName(_words(spark, words)).distinct()
+
+
+def _whole_tokens(spark: SparkSession, d: str) -> DataFrame:
+    nouns = _lexicon_nouns(spark, d).withColumn("n", F.size(F.split("noun", " ")))
+    inline = _lexicon(spark)
+    single = nouns.where("n = 1").select(F.col("noun").alias("form"), F.col("noun").alias("lemma"), F.lit("NOUN").alias("pos")).join(inline.select("form"), "form", "left_anti")
+    toks = materialize(annotate.rule_annotate(_all_french(spark, d), "text_id", "text", inline.unionByName(single)))
+    return materialize(annotate.phrase_nouns(toks, nouns.where("n > 1")))
+
+
+def _whole_classes(spark: SparkSession, d: str) -> DataFrame:
+    best = lexicon.best_values(table(spark, d, "lexicon_entries"), table(spark, d, "lexicon_origins"), ["class", "subclass"])
+    inline = spark.createDataFrame(CLASSES, "noun string, class string, subclass string")
+    return lexicon.final_dictionary(best).select("noun", "class", "subclass").unionByName(inline)
+
+
+WHOLE = Words(_all_french, _whole_tokens, _with_lexicon(HUMANS), _with_lexicon(GENERICS, tuple(EPICENES)), _inline(EPICENES), _with_lexicon(DETERMINED), _whole_classes)
+
+
+def _key_sql(c: str) -> str:
+    """The noun key of an SQL column: lower-case tokens joined by one blank."""
+    plain = f"replace(regexp_replace({c}, '\\p{{Cf}}', '', 'g'), '’', '''')"
+    return f"array_to_string(regexp_extract_all(lower(regexp_replace({plain}, '[\\s\\p{{Z}}]+', ' ', 'g')), '{_TOKEN_RE}'), ' ')"
+
+
+def _class_sql(c: str, names: dict[str, str]) -> str:
+    """The best value of a column per noun, through its table of names."""
+    value = f"regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+    best = f"arg_min({value}, row(coalesce(trust_rank, 2147483647), coalesce(-epoch_us(updated_at), 9223372036854775807), entry_id)) filter (lower({value}) not in (select * from (values {_values(V.STAND_INS)})))"
+    return f"coalesce((select v from (values {_values(list(names.items()))}) t(k, v) where k = best_{c}), best_{c}, '') as {c}", f"{best} as best_{c}"
+
+
+_CLASS_PICKS = [_class_sql("class", V.CLASS_NAMES), _class_sql("subclass", V.SUBCLASS_NAMES)]
+#: what differs in the SQL of a whole_ query, by what its inline form says
+_WHOLE_SQL = {
+    "french as (select coalesce(source, 'none') as dataset, doc_id as text_id, text from documents where lang = 'fr' and text is not null)": f"lexn as (select distinct {_key_sql('noun')} as noun from lexicon_entries where noun is not null), french as (select coalesce({_SOURCE}, 'none') as dataset, doc_id as text_id, text from documents where {_LANG} = 'fr' and text is not null)",
+    "numbered as (select text_id, text,": "numbered as (select text_id, k, text,",
+    f"lex(form, lemma, pos) as (values {_values(LEXICON)})": f"""inl(form, lemma, pos) as (values {_values(LEXICON)}),
+    lex(form, lemma, pos) as (select * from inl union all select noun, noun, 'NOUN' from lexn where noun <> '' and not contains(noun, ' ') and noun not in (select form from inl)),
+    phr as (select noun, len(string_split(noun, ' ')) as n, string_split(noun, ' ')[1] as w from lexn where contains(noun, ' ')),
+    starts as (select distinct text_id, keyed.k, i, n from keyed join phr on low = w),
+    spelt as (select s.text_id, s.i, n, string_agg(b.low, ' ' order by b.i) as noun from starts s join keyed b on b.text_id = s.text_id and b.k = s.k and b.i >= s.i and b.i < s.i + n group by 1, 2, 3),
+    hits as (select text_id, i, max(n) as n, arg_max(noun, n) as noun from spelt join phr using (noun, n) group by 1, 2),
+    inside as (select distinct text_id, i + unnest(range(1, n)) as i from hits)""",
+    "tokens as (select text_id, i, text, coalesce": "single as (select text_id, i, text, coalesce",
+    "from keyed left join lex using (form)),": "from keyed left join lex using (form)),\n    tokens as (select s.text_id, s.i, s.text, case when c.i is null then coalesce(h.noun, s.lemma) else s.lemma end as lemma, case when c.i is not null then 'X' when h.i is not null then 'NOUN' else s.pos end as pos from single s left join hits h on h.text_id = s.text_id and h.i = s.i left join inside c on c.text_id = s.text_id and c.i = s.i),",
+    f"humans(noun) as (values {_values(HUMANS)})": f"humans(noun) as (select noun from lexn union values {_values(HUMANS)})",
+    f"generics(noun) as (values {_values(GENERICS)})": f"generics(noun) as (select noun from lexn where noun not in ({_values(EPICENES)}) union values {_values(GENERICS)})",
+    f"determined(noun) as (values {_values(DETERMINED)})": f"determined(noun) as (select noun from lexn union values {_values(DETERMINED)})",
+    f"cls(noun, class, subclass) as (values {_values(CLASSES)})": f"bestcls as (select {_key_sql('noun')} as noun, {', '.join(b for _, b in _CLASS_PICKS)} from lexicon_entries left join lexicon_origins using (origin) where noun is not null group by 1), cls(noun, class, subclass) as (select noun, {', '.join(p for p, _ in _CLASS_PICKS)} from bestcls union all values {_values(CLASSES)})",
+}
+
+
+def _whole(sql: str) -> str:
+    for inline, whole in _WHOLE_SQL.items():
+        sql = sql.replace(inline, whole)
+    return sql
+
+
+for _f in (m_score_by_source, m_score_histogram, use_rate, masculine_generic_logs, inclusive_forms, neutral_noun_logs, marker_rates, text_records, class_counts, top_classes, specific_determiners, cell_filter):
+    QUERIES[f"whole_{_f.__name__}"] = partial(_f, words=WHOLE)
+    ORACLE[f"whole_{_f.__name__}"] = _whole(ORACLE[_f.__name__])

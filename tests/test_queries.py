@@ -61,3 +61,15 @@ def test_every_spelling_of_a_language_counts(spark, tmp_path):
     assert sorted(r[0] for r in core.QUERIES["whole_phrase_marker_counts"](spark, str(tmp_path)).collect()) == [1, 2, 3, 4]
     assert [tuple(r)[:2] for r in core.QUERIES["whole_definition_scores"](spark, str(tmp_path)).collect()] == [("forum", 1.0)]
     assert {tuple(r) for r in core._all_french(spark, str(tmp_path)).select("dataset", "text_id").collect()} == {("forum", 1), ("forum", 2), ("forum", 3), ("none", 4)}
+
+
+def test_whole_lexicon_is_counted(spark, tmp_path):
+    docs = [(1, "Le glarbier parle au maître de Prun. Le maître dort.", "FR", "forum"), (2, "Le boulanger dort.", "fr", "Forum")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    lex = [(1, " Glarbier", "?", "model"), (2, "glar​bier", "N de Rang", "dmnt"), (3, "glarbier", "Divers", None), (4, "Maître de  prun", "Divers", "dmnt"), (5, None, "Divers", "dmnt")]
+    spark.createDataFrame([(*x, None, None) for x in lex], "entry_id bigint, noun string, class string, origin string, subclass string, updated_at timestamp").write.parquet(f"{tmp_path}/lexicon_entries.parquet")
+    spark.createDataFrame([("model", 1), ("dmnt", 2)], "origin string, trust_rank int").write.parquet(f"{tmp_path}/lexicon_origins.parquet")
+    q = lambda name: sorted(tuple(r) for r in core.QUERIES[f"whole_{name}"](spark, str(tmp_path)).collect())
+    assert q("masculine_generic_logs") == [(1, 1, "glarbier", 0), (1, 4, "maître de prun", 0), (2, 1, "boulanger", 0)]
+    assert q("class_counts") == [("forum", "Divers", 1), ("forum", "N de Rang", 1), ("forum", "profession", 1)]
+    assert [r[:5] for r in q("m_score_by_source")] == [("forum", 2, 2, 3, 3)]

@@ -9,23 +9,19 @@ from genlex.functions import values as V
 from genlex.session import materialize
 
 
-def thread_paths(messages: DataFrame, max_depth: int = 1000) -> DataFrame:
+def thread_paths(messages: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every root-to-leaf path as ``(root_id, leaf_id, path)`` for roots with a null parent; a root without child gives none.
 
-    ``messages``: (message_id, parent_id), ids unique. One join per level from the roots down; only open paths go on, a loop is
-    never reached from a root, and ``max_depth`` guards against broken data.
+    ``messages``: (message_id, parent_id), ids unique. The members of each path come from pointer doubling, so threads may be of any
+    length and a loop is left out. Raises where a ``max_depth`` is given and a path takes more steps.
     """
-    edges = messages.select(F.col("parent_id").alias("leaf_id"), F.col("message_id").alias("child")).where("leaf_id is not null")
-    front = messages.where("parent_id is null").select(F.col("message_id").alias("root_id"), F.col("message_id").alias("leaf_id"), F.array("message_id").alias("path"))
-    parents = edges.select("leaf_id").distinct()
-    done = None
-    for _ in range(max_depth):
-        front = materialize(front.join(edges, "leaf_id").select("root_id", F.col("child").alias("leaf_id"), F.array_append("path", F.col("child")).alias("path")))
-        leaves = front.join(parents, "leaf_id", "left_anti").select("root_id", "leaf_id", "path")
-        done = leaves if done is None else done.unionByName(leaves)
-        if front.isEmpty():
-            break
-    return done
+    members = thread_members(messages.select(F.col("message_id").alias("id"), F.col("parent_id").alias("parent")))
+    roots = messages.where("parent_id is null").select(F.col("message_id").alias("root_id"))
+    paths = members.groupBy("leaf").agg(F.max_by("id", "back").alias("root_id"), F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("k"), "id"))).alias("l"))
+    out = paths.where(F.size("l") > 1).join(roots, "root_id").select("root_id", F.col("leaf").alias("leaf_id"), F.transform("l", lambda x: x["id"]).alias("path"))
+    if max_depth is not None and not out.where(F.size("path") > max_depth + 1).isEmpty():
+        raise ValueError(f"a path takes more than {max_depth} steps")
+    return out
 
 
 def thread_members(links: DataFrame) -> DataFrame:

@@ -298,3 +298,11 @@ def test_dialogue_turns_keep_every_message(spark):
     got = rows(threads.dialogue_turns(threads.latest_turns(df)).select("conv_id", "role", "n", "text"))
     whole = [("a3", "assistant", k, f"A{k}") for k in (1, 2, 3)] + [("a3", "user", 1, "R"), ("a3", "user", 2, "U2"), ("a3", "user", 3, "U3")]
     assert got == sorted([*whole, ("s", "user", 1, "R")])
+
+
+def test_no_path_is_too_long(spark):
+    chain = spark.range(1200).selectExpr("cast(id as string) as message_id", "cast(nullif(id - 1, -1) as string) as parent_id")
+    got = threads.thread_paths(chain).collect()
+    assert [(r["root_id"], r["leaf_id"]) for r in got] == [("0", "1199")] and got[0]["path"] == [str(k) for k in range(1200)]
+    with pytest.raises(ValueError):
+        threads.thread_paths(chain, max_depth=1000)

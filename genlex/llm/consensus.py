@@ -52,12 +52,13 @@ def judgements(annotations: DataFrame) -> DataFrame:
 
 
 def reliability(votes: DataFrame, item: list[str], smoothing: float = 2.0, tolerance: float = 1e-4, max_rounds: int = 30) -> DataFrame:
-    """``(annotator, n_items, accuracy, weight)``. ``votes``: item columns, annotator, label (0/1); one row per item and annotator.
+    """``(annotator, n_items, accuracy, weight, moved)``. ``votes``: item columns, annotator, label (0/1); one row per item and annotator.
 
     Per round: signed weighted vote per item, then for each vote the sign of what the others say, then the smoothed share of
     votes that agree (items that the others leave undecided count half; an annotator alone on an item gets no information
     from it). Weight = log odds of the accuracy, at least 0: who is no better than chance has no say. Ends when no accuracy
-    moves by more than ``tolerance``, or after ``max_rounds``; weighted voting may alternate between two states for ever.
+    moves by more than ``tolerance``, or after ``max_rounds``; once the largest movement no longer shrinks (weighted voting may
+    alternate between two states), successive accuracies are averaged. ``moved`` is the last round's largest movement: above ``tolerance`` it is not stable.
     Votes without annotator or label are left out. Each round is two partially combined aggregates and one join over the written votes, an item or annotator may hold a
     third of all rows; one number per round comes to the driver.
     """
@@ -65,6 +66,7 @@ def reliability(votes: DataFrame, item: list[str], smoothing: float = 2.0, toler
     v = materialize(rated.select(*item, "annotator", (F.col("label") * 2 - 1).alias("sign")))
     prior = F.lit(0.7)
     weights = materialize(v.groupBy("annotator").agg(F.count(F.lit(1)).alias("n_items")).select("annotator", "n_items", F.lit(0.5).cast("double").alias("accuracy"), F.lit(1.0).alias("weight")))
+    moved, last, damped = None, None, False
     for _ in range(max_rounds):
         w = v.join(weights.select("annotator", "weight"), "annotator").select(*item, "annotator", "sign", (F.col("sign") * F.col("weight")).alias("say"), "weight")
         total = w.groupBy(*item).agg(F.sum("say").alias("total"), F.count(F.lit(1)).alias("n"))
@@ -74,14 +76,17 @@ def reliability(votes: DataFrame, item: list[str], smoothing: float = 2.0, toler
         acc = seen.groupBy("annotator").agg(F.sum(agree).alias("hits"), F.count(F.lit(1)).alias("tried"))
         fresh = weights.select("annotator", "n_items", F.col("accuracy").alias("before")).join(acc, "annotator", "left")
         smoothed = (F.coalesce("hits", F.lit(0.0)) + prior * smoothing) / (F.coalesce("tried", F.lit(0)) + smoothing)
-        fresh = fresh.select("annotator", "n_items", "before", smoothed.alias("accuracy"))
+        accuracy = (smoothed + F.col("before")) / 2 if damped else smoothed
+        fresh = fresh.select("annotator", "n_items", "before", accuracy.alias("accuracy"))
         capped = F.least(F.greatest(F.col("accuracy"), F.lit(0.5)), F.lit(0.99))
         fresh = materialize(fresh.withColumn("weight", F.log(capped / (1 - capped))))
         moved = fresh.agg(F.max(F.abs(F.col("accuracy") - F.col("before")))).first()[0]
         weights = fresh.select("annotator", "n_items", "accuracy", "weight")
         if moved is None or moved <= tolerance:
             break
-    return weights
+        damped = damped or (last is not None and moved >= last)
+        last = moved
+    return weights.withColumn("moved", F.lit(moved).cast("double"))
 
 
 def consensus(votes: DataFrame, weights: DataFrame, item: list[str]) -> DataFrame:

@@ -96,12 +96,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_consensus(spark: SparkSession, d: str) -> DataFrame:
     votes = _votes(spark, d)
-    return consensus.consensus(votes, consensus.reliability(votes, ITEM), ITEM)
+    weights = consensus.reliability(votes, ITEM)
+    return consensus.consensus(votes, weights, ITEM).crossJoin(F.broadcast(weights.agg(F.max("moved").alias("moved"))))  # one row
 
 
 def p6_annotators(spark: SparkSession, d: str) -> DataFrame:
     votes = _votes(spark, d)
-    return consensus.reliability(votes, ITEM).select("annotator", "n_items", F.round("accuracy", 6).alias("accuracy"), F.round("weight", 6).alias("weight"))
+    return consensus.reliability(votes, ITEM).select("annotator", "n_items", F.round("accuracy", 6).alias("accuracy"), F.round("weight", 6).alias("weight"), "moved")
 
 
 def p6_agreement(spark: SparkSession, d: str) -> DataFrame:

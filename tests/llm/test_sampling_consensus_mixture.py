@@ -145,3 +145,12 @@ def test_whole_mixture(spark):
     assert rep["b"]["available"] > 1  # the special token's spelling is ordinary text
     chosen, report = M.mixture(docs.limit(0), targets)
     assert chosen.count() == 0 and {r["taken"] for r in report.collect()} == {0}
+
+
+def test_alternating_accuracies_settle(spark):
+    rows = [(0, "a", 0), (0, "b", 1), (1, "b", 0), (1, "c", 1), (2, "c", 0)]
+    votes = spark.createDataFrame(rows, "item int, annotator string, label int")
+    got = C.reliability(votes, ["item"]).collect()
+    assert max(r["moved"] for r in got) <= 1e-4
+    early = C.reliability(votes, ["item"], max_rounds=2).collect()
+    assert min(r["moved"] for r in early) > 1e-4

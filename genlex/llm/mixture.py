@@ -62,6 +62,19 @@ def sized_documents(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFra
     return src.select("id", F.array("s").alias("sources"), token_count(F.col("text"), tokenizer).alias("tokens"))
 
 
+def shared_documents(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``(id, sources, tokens, copies)``: as ``sized_documents``, but rows of one text under several sources are one document of all of them.
+
+    The n-th copy of a text in one source is one document with the n-th copies in the others (``copies`` rows, the smallest id), so
+    each source keeps the tokens that its own rows have. The text is the whole text, compared exactly.
+    """
+    readable = F.col("text").isNotNull() & (F.regexp_replace("text", BLANKS, "") != "")
+    src = documents.where(readable).select(F.col("doc_id").alias("id"), source_key(F.col("source")).alias("s"), "text", F.sha2("text", 256).alias("same")).where("s is not null")
+    nth = src.withColumn("nth", F.row_number().over(Window.partitionBy("same", "s").orderBy("id")))
+    one = nth.groupBy("same", "nth").agg(F.min("id").alias("id"), F.array_sort(F.collect_set("s")).alias("sources"), F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return one.select("id", "sources", token_count(F.col("text"), tokenizer).alias("tokens"), "copies")
+
+
 def min_cost_flow(arcs: list[tuple[int, int, int, int]], nodes: int, source: int, sink: int) -> list[int]:
     """Flow on each arc (from, to, capacity, cost >= 0) of a cheapest maximal flow, by successive shortest paths."""
     graph: list[list[int]] = [[] for _ in range(nodes)]
@@ -119,11 +132,11 @@ def route(patterns: list[tuple[tuple[str, ...], int]], targets: list[tuple[str,
     return {m: f for m, f in zip(meaning, flow, strict=True) if m and f}, quota
 
 
-def plan_mixture(sized: DataFrame, targets: DataFrame) -> tuple[list[dict], list[dict]]:
+def plan_mixture(sized: DataFrame, targets: DataFrame, total: int | None = None) -> tuple[list[dict], list[dict]]:
     """(intervals, report) of a mixture; ``sized`` must be written data. Only counts per pattern come to the driver.
 
     intervals: for each pattern and source the stretch [begin, end) of the pattern's token axis, laid round a ring of its
-    length, that the source uses. report: one entry per target. A source given twice in ``targets`` keeps its larger weight.
+    length, that the source uses. ``total``: tokens that the weights refer to, else those of ``sized``. report: one entry per target. A source given twice in ``targets`` keeps its larger weight.
     """
     pattern = F.array_sort(F.array_distinct("sources"))
     sums = sized.groupBy(pattern.alias("sources")).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
@@ -133,7 +146,7 @@ def plan_mixture(sized: DataFrame, targets: DataFrame) -> tuple[list[dict], list
     patterns = [(tuple(r["sources"]), int(r["tokens"])) for r in rows]
     wanted = targets.groupBy(source_key(F.col("source")).alias("key")).agg(F.max(F.struct(F.coalesce(F.col("target_weight").cast("double"), F.lit(0.0)).alias("w"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(1)).alias("r"), F.col("source"))).alias("t"))
     named = wanted.where("key is not null").orderBy("key").limit(MAX_PATTERNS).collect()
-    total = sum(t for _, t in patterns)
+    total = sum(t for _, t in patterns) if total is None else total
     flow, quota = route(patterns, [(r["key"], r["t"]["w"], r["t"]["r"]) for r in named], total)
     intervals, begin = [], [0] * len(patterns)
     for (k, s), tokens in sorted(flow.items()):
@@ -168,17 +181,19 @@ def select_documents(sized: DataFrame, intervals: list[dict], seed: int = 42, bu
     return placed.join(F.broadcast(plan), "sources").select("id", "source", uses.alias("repeats"), "tokens").where("repeats > 0")  # one row per pattern and source, at most MAX_PATTERNS
 
 
-def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 42, shared: bool = False) -> tuple[DataFrame, DataFrame]:
     """(selection, report). selection: ``doc_id, source, repeats, tokens``; report: one row per target source with
     ``source, target_weight, max_repeats, quota, available, taken, actual_share, met``.
 
     quota = target_weight x tokens of all documents with non-blank text and a source. A source that cannot reach its quota is
     used max_repeats times over and has met = false. Null sources and texts take no part; rows that repeat count each; empty
-    tables give an empty selection and a report without tokens.
+    tables give an empty selection and a report without tokens. ``shared=True``: a text that occurs under several sources is one
+    document that each of them may use (see ``shared_documents``); quotas stay the same.
     """
     spark: SparkSession = documents.sparkSession
-    sized = materialize(sized_documents(documents, tokenizer))
-    intervals, report = plan_mixture(sized, targets)
+    sized = materialize((shared_documents if shared else sized_documents)(documents, tokenizer))
+    total = sized.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] or 0 if shared else None
+    intervals, report = plan_mixture(sized, targets, total)
     chosen = select_documents(sized, intervals, seed)
     rows = spark.createDataFrame(
         [tuple(r[k] for k in ("key", "source", "target_weight", "max_repeats", "quota", "available", "met")) for r in report],

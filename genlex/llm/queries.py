@@ -125,11 +125,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), shared=True)[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), shared=True)[1]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -154,3 +154,12 @@ def test_alternating_accuracies_settle(spark):
     assert max(r["moved"] for r in got) <= 1e-4
     early = C.reliability(votes, ["item"], max_rounds=2).collect()
     assert min(r["moved"] for r in early) > 1e-4
+
+
+def test_a_text_of_two_sources_is_shared(spark):
+    docs = spark.createDataFrame([(1, "Le pain.", "a"), (2, "Le pain.", "B "), (3, "Le pain.", "b"), (4, "Le vin.", "b")], "doc_id int, text string, source string")
+    got = {r["id"]: (r["sources"], r["copies"]) for r in M.shared_documents(docs).collect()}
+    assert got == {1: (["a", "b"], 2), 3: (["b"], 1), 4: (["b"], 1)}
+    targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 1)], "source string, target_weight double, max_repeats int")
+    plain, shared = (M.mixture(docs, targets, shared=x)[1].orderBy("source").collect() for x in (False, True))
+    assert [(r["quota"], r["available"], r["met"]) for r in shared] == [(r["quota"], r["available"], r["met"]) for r in plain]

@@ -31,7 +31,7 @@ def p1_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return conv.conversations(table(spark, d, "messages")).select("root_id", "last_id", "n_messages").distinct()
+    return conv.conversations(table(spark, d, "messages")).select("root_id", "last_id", "n_messages")
 
 
 def p2_transcripts(spark: SparkSession, d: str) -> DataFrame:

@@ -72,12 +72,13 @@ def test_empty_and_long_thread(spark):
     assert found(table(spark, chain)) == [("m0", "m299", 300)]
 
 
-def test_hot_root_is_split(spark):
-    star = [("r", None, "user", "q")] + [(f"a{k}", "r", "assistant", "x" * 10) for k in range(700)]
+def test_huge_threads_are_chained_with_equal_results(spark):
+    star = [("r", None, "user", "q")] + [(f"a{k}", "r", "assistant", "x" * 10) for k in range(700)] + [("z", None, "user", "q"), ("y", "z", "assistant", "x"), ("w", "a3", "user", "cut"), ("v", "a4", "user", "..."), ("u", "v", "assistant", "x")]
     df = table(spark, star)
-    ev = C.events(C.latest_messages(df), per_key=64)
-    assert ev.select("thread", "part").distinct().count() > 5
-    assert len(found(df)) == 700
+    by_state = sorted(tuple(r) for r in C.conversations(df, with_path=True).collect())
+    chained = sorted(tuple(r) for r in C.conversations(df, with_path=True, split_above=100).collect())
+    assert by_state == chained and len(chained) == 700
+    assert ("r", "a3", 2, "w", ["r", "a3"]) in chained and ("z", "y", 2, "y", ["z", "y"]) in chained
 
 
 def test_against_brute_force(spark):
@@ -87,31 +88,62 @@ def test_against_brute_force(spark):
         parent = None if rng.random() < 0.15 else f"m{rng.randrange(max(1, k + 5))}"
         rows.append((f"m{k}", parent, rng.choice(["user", "assistant", "assistant", "human", "system", "?"]), rng.choice(["ok", "ok", "ok", "ok", "..."]), k))
     rows += [(r[0], r[1], r[2], "new", r[4] + 1000) for r in rng.sample(rows, 60)]
-    assert found(table(spark, rows)) == brute(rows)
-
-
-def test_late_messages_wait_in_state(spark, tmp_path):
-    """A conversation whose parts come in different micro-batches is emitted once it is whole; a broken one never is."""
-    rows = [("r", None, "user", "q"), ("a", "r", "assistant", "x"), ("z", "gone", "assistant", "x")]
-    ev = C.events(C.latest_messages(table(spark, rows)))
-    first = ev.where("id <> 'r'")
-    path = str(tmp_path / "ev")
-    first.coalesce(1).write.parquet(path)
-    ev.where("id = 'r'").coalesce(1).write.mode("append").parquet(path)
-    schema = "thread string, part bigint, leaf string, id string, turn bigint, size bigint, root boolean, who string, readable boolean, event_time timestamp"
-    out = C.run_once(spark, path, schema, files_per_trigger=1)
-    assert [tuple(r) for r in out.collect()] == [("r", "a", 2, "a")]
-
-
-def test_no_file_is_late(spark, tmp_path):
-    """Files of a table may come newest first, years apart: nothing is dropped behind the watermark."""
-    rows = [("r", None, "user", "q", 0), ("a", "r", "assistant", "x", 3_000_000), ("s", None, "user", "q", 1), ("b", "s", "assistant", "x", 2)]
-    ev = C.events(C.latest_messages(table(spark, rows)))
-    path = str(tmp_path / "ev")
-    for k, cond in enumerate(("id = 'a'", "id = 'b'", "id = 'r'", "id = 's'")):
-        ev.where(cond).coalesce(1).write.mode("append" if k else "overwrite").parquet(path)
-    schema = "thread string, part bigint, leaf string, id string, turn bigint, size bigint, root boolean, who string, readable boolean, event_time timestamp"
-    assert sorted(r["last_id"] for r in C.run_once(spark, path, schema, files_per_trigger=1).collect()) == ["a", "b"]
+    df = table(spark, rows)
+    assert found(df) == brute(rows)
+    assert sorted(tuple(r)[:3] for r in C.conversations(df, split_above=0).collect()) == brute(rows)
+
+
+def event(thread, id_, parent, who, day, version=None):
+    return (0, thread, id_, parent, who, True, version if version is not None else day, T0 + timedelta(days=day))
+
+
+def folder(spark, path, *files):
+    """One parquet file for each list of events, aged in this order."""
+    import glob
+    import os
+
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, C.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        for f in glob.glob(f"{path}/*.parquet"):
+            if os.path.getmtime(f) > 1_000_000_000 + len(files):
+                os.utime(f, (1_000_000_000 + k,) * 2)
+    return path
+
+
+def test_timeout_and_closure_fire_behind_a_bounded_delay(spark, tmp_path):
+    """Conversations are emitted while the stream still runs: a closed one after ``quiet``, one that waits for a reply after ``wait``."""
+    files = [
+        [event("r", "r", None, "u", 0), event("r", "a", "r", "a", 0), event("s", "s", None, "u", 0), event("s", "b", "s", "a", 0), event("s", "c", "b", "u", 0), event("x", "y", "x", "a", 0)],
+        [event("t", "t", None, "u", 10)], [event("t", "d", "t", "a", 11)], [event("q", "q", None, "u", 60)], [event("q", "e", "q", "a", 61)],
+    ]
+    path = folder(spark, str(tmp_path / "ev"), *files)
+    out, late = C._stream(spark, path, 1, delay="1 day", keep_ms=None)
+    got = sorted((r["thread"], r["root_id"], r["last_id"], r["n_messages"]) for r in out.collect())
+    assert not late and got == [("r", "r", "a", 2), ("s", "s", "b", 2), ("t", "t", "d", 2)]  # q still waits for the watermark
+
+
+def test_a_late_row_opens_the_thread_again(spark, tmp_path):
+    files = [[event("r", "r", None, "u", 0), event("r", "a", "r", "a", 0)], [event("o", "o", None, "u", 20)], [event("r", "b", "a", "u", 21), event("r", "c", "b", "a", 21)], [event("o", "p", "o", "a", 40)], [event("r", "c", "b", "s", 80, version=90)]]
+    path = folder(spark, str(tmp_path / "ev"), *files)
+    every, late = C._stream(spark, path, 1, keep_ms=None)
+    got = [tuple(r) for r in every.select("root_id", "last_id", "n_messages").where("thread = 'r'").collect()]
+    assert not late and ("r", "a", 2) in got and ("r", "c", 4) in got  # first revision, second revision
+    last = C.replay(spark, path, files_per_trigger=1).select("root_id", "last_id", "n_messages").collect()
+    assert [tuple(r) for r in last] == [("o", "p", 2)]  # the third takes it back: the last speaker is no assistant any more
+
+
+def test_rows_behind_the_watermark_are_not_lost(spark, tmp_path):
+    """Files newest first: the second falls behind the watermark, Spark counts its rows, and the replay covers them."""
+    path = folder(spark, str(tmp_path / "ev"), [event("r", "a", "r", "a", 900)], [event("s", "s", None, "u", 500)], [event("r", "r", None, "u", 1), event("s", "b", "s", "a", 2)])
+    assert C._stream(spark, path, 1, keep_ms=None)[1]
+    assert sorted(r["last_id"] for r in C.replay(spark, path, files_per_trigger=1).collect()) == ["a", "b"]
+    assert sorted(r["last_id"] for r in C.replay(spark, path).collect()) == ["a", "b"]
+
+
+def test_state_is_let_go_after_the_keeping_time(spark, tmp_path):
+    path = folder(spark, str(tmp_path / "ev"), [event("r", "r", None, "u", 0), event("r", "a", "r", "a", 0)], [event("o", "o", None, "u", 200)], [event("o", "p", "o", "u", 201)], [event("r", "b", "a", "u", 202), event("r", "c", "b", "a", 202)], [event("o", "z", "o", "u", 900)])
+    out, _ = C._stream(spark, path, 1, keep_ms=60 * C.DAY)
+    assert [(r["root_id"], r["last_id"]) for r in out.collect()] == [("r", "a")]
 
 
 def test_transcripts(spark):

@@ -29,13 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
+def shared_path(spark: SparkSession) -> str:
+    """As ``shared_dir``, and the folder is among those that ``release`` deletes."""
+    _made.append(path := shared_dir(spark))
+    return path
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back: lineage ends there and survives lost executors.
 
     Column types and names are kept; row order is not. Needs unique column names.
     """
-    path = shared_dir(df.sparkSession)
-    _made.append(path)
+    path = shared_path(df.sparkSession)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

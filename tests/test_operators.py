@@ -306,3 +306,11 @@ def test_no_path_is_too_long(spark):
     assert [(r["root_id"], r["leaf_id"]) for r in got] == [("0", "1199")] and got[0]["path"] == [str(k) for k in range(1200)]
     with pytest.raises(ValueError):
         threads.thread_paths(chain, max_depth=1000)
+
+
+def test_ordinals_need_no_task_per_key(spark):
+    rows = [("hot", k) for k in range(3000)] + [("b", 5), ("b", 2), ("c", 1)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(7)
+    got = {(r["k"], r["v"]): r["n"] for r in lexicon.ordinals(df, ["k"], ["v"], "n").collect()}
+    assert got == {("hot", k): k + 1 for k in range(3000)} | {("b", 2): 1, ("b", 5): 2, ("c", 1): 1}
+    assert lexicon.ordinals(df.limit(0), ["k"], ["v"], "n").count() == 0

@@ -14,10 +14,11 @@ from genlex.session import materialize
 
 from .lookalikes import BLANKS
 
-_QUOTED = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
-_NUMBER = r"[01](?:\.0*)?"
-DICT = rf"^\s*\{{\s*(?:{_QUOTED}\s*:\s*{_NUMBER}\s*(?:,\s*{_QUOTED}\s*:\s*{_NUMBER}\s*)*,?\s*)?\}}\s*$"
-PAIR = rf"({_QUOTED})\s*:\s*([01])"
+# possessive throughout: what one part has read is never given back, so matching takes linear time and no stack however long a literal is
+_QUOTED = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""
+_NUMBER = r"[01](?:\.0*+)?+"
+DICT = rf"(?s)^\s*+\{{\s*+(?:{_QUOTED}\s*+:\s*+{_NUMBER}\s*+(?:,\s*+{_QUOTED}\s*+:\s*+{_NUMBER}\s*+)*+,?+\s*+)?+\}}\s*+$"
+PAIR = rf"(?s)({_QUOTED})\s*+:\s*+([01])"
 
 
 def usable(literal: Column) -> Column:
@@ -29,10 +30,13 @@ def entries(literal: Column) -> Column:
     """``array<struct<noun, label>>`` of a usable literal; of a repeated key the last value counts, as in the literal itself."""
     keys = F.regexp_extract_all(literal, F.lit(PAIR), F.lit(1))
     values = F.regexp_extract_all(literal, F.lit(PAIR), F.lit(2))
-    plain = F.transform(keys, lambda k: F.regexp_replace(F.substring(k, F.lit(2), F.length(k) - 2), r"\\(.)", "$1"))
-    zipped = F.transform(plain, lambda k, i: F.struct(k.alias("noun"), F.element_at(values, (i + 1).cast("int")).cast("int").alias("label"), i.alias("at")))
-    last = F.filter(zipped, lambda x: ~F.exists(zipped, lambda y: (y["noun"] == x["noun"]) & (y["at"] > x["at"])))
-    return F.transform(last, lambda x: F.struct(x["noun"].alias("noun"), x["label"].alias("label")))
+    plain = F.transform(keys, lambda k: F.regexp_replace(F.substring(k, F.lit(2), F.length(k) - 2), r"(?s)\\(.)", "$1"))
+    numbered = F.transform(F.arrays_zip(plain.alias("noun"), values.alias("label")), lambda x, i: F.struct(x["noun"].alias("noun"), i.alias("at"), x["label"].cast("int").alias("label")))
+    in_order = F.array_sort(numbered)  # the entries of one key lie side by side, the last one behind
+    shifted = F.concat(F.slice(in_order, F.lit(2), F.greatest(F.size(in_order), F.lit(1))), F.array(F.lit(None).cast("struct<noun:string,at:int,label:int>")))
+    kept = F.filter(F.zip_with(in_order, shifted, lambda x, y: F.struct(x.alias("x"), (x["noun"].eqNullSafe(y["noun"])).alias("again"))), lambda p: p["x"].isNotNull() & ~p["again"])
+    as_written = F.array_sort(F.transform(kept, lambda p: F.struct(p["x"]["at"].alias("at"), p["x"]["noun"].alias("noun"), p["x"]["label"].alias("label"))))
+    return F.transform(as_written, lambda x: F.struct(x["noun"].alias("noun"), x["label"].alias("label")))
 
 
 def judgements(annotations: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genlex.llm import balanced as B
 from genlex.llm import consensus as C
@@ -36,7 +37,7 @@ def test_balanced_sample(spark):
     records, targets = sample_inputs(spark)
     drawn = B.balanced_sample(records.repartition(9), targets, 201)
     counts = {r["category"]: r["count"] for r in drawn.groupBy("category").count().collect()}
-    assert counts["tiny"] == 9 and counts["big_one"] in (100, 101) and counts["mid"] == 60 and "other" not in counts
+    assert counts["tiny"] == 9 and counts["big_one"] == 101 and counts["mid"] == 61 and "other" not in counts
     assert drawn.select("id").distinct().count() == drawn.count()
     cand = records.select(B.category_key(records["category"]).alias("category"), "id")
     rep = {r["category"]: r for r in B.imbalance(drawn, cand, targets, 201).collect()}
@@ -44,6 +45,24 @@ def test_balanced_sample(spark):
     assert len(rep) == 4
 
 
+def test_sums_are_exact_and_targets_are_judged_by_the_draw(spark):
+    rows = [(k, "abc"[k % 3]) for k in range(3_000)]
+    records = spark.createDataFrame(rows, "id long, category string").repartition(13)
+    targets = spark.createDataFrame([("a", 1 / 3, 1), ("b", 1 / 7, 1), ("b", 1 / 7, 1), ("c", 0.0, 1_001)], "category string, target_share double, min_rows long")
+    drawn = B.balanced_sample(records, targets, 1_001)
+    rep = {r["category"]: r for r in B.imbalance(drawn, records, targets, 1_001).collect()}
+    assert {k: (r["drawn"], r["residual"], r["met"]) for k, r in rep.items()} == {"a": (334, 0.0, True), "b": (143, 0.0, True), "c": (1_000, 0.0, False)}
+    short = B.imbalance(drawn.where("category <> 'b'"), records, targets, 1_001)
+    assert [r["category"] for r in short.where("not met").orderBy("category").collect()] == ["b", "c"]  # there are enough, but they were not drawn
+
+
+def test_whole_flight_is_exact():
+    rng = np.random.default_rng(3)
+    whole = np.full(999, 999, dtype=np.int64)
+    q = B.flight(np.full(999, 334, dtype=np.int64), np.array(["a"] * 999, dtype=object), rng.permutation(999), 5, whole)
+    assert sorted(set(q.tolist())) == [0, 999] and int((q == 999).sum()) == 334
+
+
 def test_sample_of_nothing(spark):
     records, targets = sample_inputs(spark, (0, 0, 0))
     assert B.balanced_sample(records, targets, 10).count() == 0
@@ -73,6 +92,18 @@ def test_usable_literals(spark):
     assert [tuple(x) for x in one.select(C.entries(one["v"])).first()[0]] == [("l'b", 0), ("a", 0)]
 
 
+def test_long_literals_need_no_stack(spark):
+    many = "{" + ", ".join(f"'noun {k}': {k % 2}" for k in range(10_000)) + "}"
+    wide = "{'" + "x" * 100_000 + "\\'" * 5_000 + "': 1}"
+    broken = "{" + "'a': 1, " * 20_000 + "'b"
+    df = spark.createDataFrame([(1, many), (2, wide), (3, broken), (4, "{'a': 1" + " " * 50_000 + "!")], "k int, v string")
+    assert [r[0] for r in df.orderBy("k").select(C.usable(df["v"])).collect()] == [True, True, False, False]
+    sizes = {r["k"]: r["n"] for r in df.where("k < 3").select("k", F.size(C.entries(df["v"])).alias("n")).collect()}
+    assert sizes == {1: 10_000, 2: 1}
+    again = spark.createDataFrame([("{" + "'a': 1, 'b': 0, " * 5_000 + "'a': 0}",)], "v string")
+    assert [tuple(x) for x in again.select(C.entries(again["v"])).first()[0]] == [("b", 0), ("a", 0)]
+
+
 def test_latest_usable_annotation_counts(spark):
     o = "{'a': 1, 'b': 0}"
     df = annotations(spark, [(1, o, "{'a': 0}", "X", 1), (1, o, "{'a': 1, 'zz': 1}", " x ", 2), (1, None, "{'a': 1", "x", 3), (1, o, "{'b': 1}", "y", None), (1, o, "{'b': 0}", "y", 0), (None, o, "{'a': 1}", "x", 1), (2, "broken", "{'a': 1}", "x", 1), (1, o, "{'a': 1}", None, 1)])

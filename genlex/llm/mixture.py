@@ -1,26 +1,30 @@
 """Problem 8: a mixture of sources with target weights, sized in tokens.
 
-Method: min-cost flow. Documents are aggregated by membership pattern (the set of sources they belong to); token capacity is
-routed from patterns to source quotas, and every further use of the same tokens costs more, so repetition spreads evenly and
-overlapping sources share what they have. The flow has as many nodes as there are patterns and sources, never documents. The
+Method: min-cost flow. Documents are aggregated by membership pattern (the set of sources they belong to: copies of one text may
+lie in several); token capacity is routed from patterns to source quotas, and every further use of the same tokens costs more, so
+repetition spreads evenly and overlapping sources share what they have. The flow has as many nodes as there are patterns and sources, never documents. The
 documents are then selected by a seeded order.
 """
 
 from __future__ import annotations
 
+import os
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from genlex.operators.lexicon import ordinals
 from genlex.session import materialize
 
 from .lookalikes import BLANKS
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-MAX_PATTERNS = 100_000  # more patterns than this would be too many for one flow on the driver
+MAX_PATTERNS = 100_000  # more patterns or targets than this would be too many for one flow on the driver: then it raises
+EVEN_USES = 16  # uses of the same tokens are told apart one by one up to here, and beyond it by doubling classes
 _loaded: dict = {}
 
 
@@ -32,13 +36,11 @@ def source_key(c: Column) -> Column:
 
 def _counter(path: str):
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if path not in _loaded:
             from tokenizers import Tokenizer
 
-            _loaded[path] = Tokenizer.from_file(path)
+            _loaded[path] = Tokenizer.from_file(SparkFiles.get(os.path.basename(path)))
             _loaded[path].encode_special_tokens = True  # their spelling in a text is ordinary text
         for texts in batches:
             out: list[int] = []
@@ -51,7 +53,8 @@ def _counter(path: str):
 
 
 def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
-    """Tokens of the whole text by a public tokenizer file that every executor can read; null counts 0."""
+    """Tokens of the whole text by a public tokenizer file, which Spark sends to every executor; null counts 0."""
+    SparkSession.active().sparkContext.addFile(tokenizer)
     return F.pandas_udf(_counter(tokenizer), "bigint")(text)
 
 
@@ -66,47 +69,112 @@ def shared_documents(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
     """``(id, sources, tokens, copies)``: as ``sized_documents``, but rows of one text under several sources are one document of all of them.
 
     The n-th copy of a text in one source is one document with the n-th copies in the others (``copies`` rows, the smallest id), so
-    each source keeps the tokens that its own rows have. The text is the whole text, compared exactly.
+    each source keeps the tokens that its own rows have. The text is the whole text, compared by a 256-bit digest; texts are
+    read once and never shuffled, and copies are numbered without a task per text: one text may fill a third of all rows.
     """
     readable = F.col("text").isNotNull() & (F.regexp_replace("text", BLANKS, "") != "")
-    src = documents.where(readable).select(F.col("doc_id").alias("id"), source_key(F.col("source")).alias("s"), "text", F.sha2("text", 256).alias("same")).where("s is not null")
-    nth = src.withColumn("nth", F.row_number().over(Window.partitionBy("same", "s").orderBy("id")))
-    one = nth.groupBy("same", "nth").agg(F.min("id").alias("id"), F.array_sort(F.collect_set("s")).alias("sources"), F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    return one.select("id", "sources", token_count(F.col("text"), tokenizer).alias("tokens"), "copies")
-
-
-def min_cost_flow(arcs: list[tuple[int, int, int, int]], nodes: int, source: int, sink: int) -> list[int]:
-    """Flow on each arc (from, to, capacity, cost >= 0) of a cheapest maximal flow, by successive shortest paths."""
-    graph: list[list[int]] = [[] for _ in range(nodes)]
-    to, cap, cost = [], [], []
-    for a, b, c, w in arcs:
-        graph[a].append(len(to))
-        to.append(b), cap.append(c), cost.append(w)
-        graph[b].append(len(to))
-        to.append(a), cap.append(0), cost.append(-w)
-    while True:
-        dist, via, queued = [None] * nodes, [-1] * nodes, [False] * nodes
-        dist[source] = 0
-        line = deque([source])
-        while line:
-            u = line.popleft()
-            queued[u] = False
-            for e in graph[u]:
-                if cap[e] > 0 and (dist[to[e]] is None or dist[u] + cost[e] < dist[to[e]]):
-                    dist[to[e]], via[to[e]] = dist[u] + cost[e], e
-                    if not queued[to[e]]:
-                        queued[to[e]] = True
-                        line.append(to[e])
-        if dist[sink] is None:
-            return [cap[2 * k + 1] for k in range(len(arcs))]
-        path, v = [], sink
-        while v != source:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
+    src = documents.where(readable).select(F.col("doc_id").alias("id"), source_key(F.col("source")).alias("s"), "text").where("s is not null")
+    src = materialize(src.select("id", "s", F.sha2("text", 256).alias("same"), token_count(F.col("text"), tokenizer).alias("tokens")))
+    several = src.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("same")
+    copied = materialize(src.join(several, "same", "left_semi"))
+    nth = ordinals(copied, ["same", "s"], ["id"], "nth")
+    one = nth.groupBy("same", "nth").agg(F.min("id").alias("id"), F.array_sort(F.collect_set("s")).alias("sources"), F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))  # at most one row per source
+    alone = src.join(several, "same", "left_anti").select("id", F.array("s").alias("sources"), "tokens", F.lit(1).cast("bigint").alias("copies"))
+    return one.select("id", "sources", "tokens", "copies").unionByName(alone)
+
+
+def _uses(most: int) -> Iterator[tuple[int, int]]:
+    """(first use, number of uses) of each cost class, up to ``most`` uses: convex, and few however often text may be repeated."""
+    at = 1
+    while at <= most:
+        width = 1 if at <= EVEN_USES else min(at - 1, most - at + 1)
+        yield at, width
+        at += width
+
+
+def shared_flow(patterns: list[tuple[tuple[str, ...], int]], repeats: dict[str, int], quota: dict[str, int]) -> dict[tuple[int, str], int]:
+    """Tokens per (pattern index, source) of a cheapest maximal flow from patterns to sources.
+
+    A pattern's tokens may go to each of its sources ``repeats`` times over; the n-th use of the same tokens costs n - 1, whichever
+    source makes it. Costs lie on the patterns only and rise with use, so the cheapest maximal flow is found class by class: the
+    first use of everything is routed as far as it goes, then the second on what that left, and so on (the reachable supplies are
+    a polymatroid, where greedy is exact). Each class is a maximum flow by levels of the residual graph (Dinic), whose arcs are
+    the memberships.
+    """
+    names = list(quota)
+    at = {s: k for k, s in enumerate(names)}
+    out_arcs = [[at[s] for s in members if s in at] for members, _ in patterns]
+    limit = [{s: tokens * repeats[names[s]] for s in arcs} for arcs, (_, tokens) in zip(out_arcs, patterns, strict=True)]
+    flow: list[dict[int, int]] = [dict.fromkeys(arcs, 0) for arcs in out_arcs]
+    into: list[list[int]] = [[] for _ in names]
+    for k, arcs in enumerate(out_arcs):
+        for s in arcs:
+            into[s].append(k)
+    need = [quota[n] for n in names]
+    most = [sum(repeats[names[s]] for s in arcs) for arcs in out_arcs]
+    supply = [0] * len(patterns)
+    for first, width in _uses(max(most, default=0)):
+        for k, (_, tokens) in enumerate(patterns):
+            supply[k] += tokens * max(0, min(width, most[k] - first + 1))
+        while any(need):
+            # levels: patterns with supply are 0; a pattern leads to a source with room, a source back to patterns that it takes from
+            level_p, level_s = [0 if supply[k] else -1 for k in range(len(patterns))], [-1] * len(names)
+            line, reached = deque(("p", k) for k in range(len(patterns)) if supply[k]), False
+            while line:
+                kind, v = line.popleft()
+                if kind == "p":
+                    for s in out_arcs[v]:
+                        if level_s[s] < 0 and flow[v][s] < limit[v][s]:
+                            level_s[s] = level_p[v] + 1
+                            reached = reached or need[s] > 0
+                            line.append(("s", s))
+                elif not need[v]:
+                    for k in into[v]:
+                        if level_p[k] < 0 and flow[k][v] > 0:
+                            level_p[k] = level_s[v] + 1
+                            line.append(("p", k))
+            if not reached:
+                break
+            next_p, next_s = [0] * len(patterns), [0] * len(names)
+            for start in range(len(patterns)):
+                while supply[start] and level_p[start] == 0:
+                    path, v = [], start  # arcs (pattern, source, +1 or -1)
+                    while True:
+                        if path and path[-1][2] > 0 and need[v]:
+                            push = min([supply[start], need[v]] + [limit[p][s] - flow[p][s] if d > 0 else flow[p][s] for p, s, d in path])
+                            for p, s, d in path:
+                                flow[p][s] += d * push
+                            supply[start] -= push
+                            need[v] -= push
+                            break
+                        on_source = bool(path) and path[-1][2] > 0
+                        if on_source:
+                            step = next((j for j in range(next_s[v], len(into[v])) if level_p[into[v][j]] == level_s[v] + 1 and flow[into[v][j]][v] > 0), None)
+                            next_s[v] = len(into[v]) if step is None else step
+                            if step is not None:
+                                path.append((into[v][step], v, -1))
+                                v = into[v][step]
+                                continue
+                        else:
+                            step = next((j for j in range(next_p[v], len(out_arcs[v])) if level_s[out_arcs[v][j]] == level_p[v] + 1 and flow[v][out_arcs[v][j]] < limit[v][out_arcs[v][j]]), None)
+                            next_p[v] = len(out_arcs[v]) if step is None else step
+                            if step is not None:
+                                path.append((v, out_arcs[v][step], 1))
+                                v = out_arcs[v][step]
+                                continue
+                        if not path:  # nothing leads on from the start in these levels
+                            break
+                        p, s, d = path.pop()
+                        v = p if d > 0 else s
+                        if d > 0:
+                            next_p[p] += 1
+                        else:
+                            next_s[s] += 1
+                    if not path:
+                        break
+        if not any(need):
+            break
+    return {(k, names[s]): f for k, arcs in enumerate(flow) for s, f in arcs.items() if f}
 
 
 def route(patterns: list[tuple[tuple[str, ...], int]], targets: list[tuple[str, float, int]], total: int) -> tuple[dict[tuple[int, str], int], dict[str, int]]:
@@ -115,21 +183,7 @@ def route(patterns: list[tuple[tuple[str, ...], int]], targets: list[tuple[str,
 
     quota = {s: math.ceil(w * total) for s, w, _ in targets}
     repeats = {s: max(0, int(r)) for s, _, r in targets}
-    source_node = {s: 1 + len(patterns) + k for k, s in enumerate(quota)}
-    sink, arcs, meaning = 1 + len(patterns) + len(quota), [], []
-    for k, (members, tokens) in enumerate(patterns):
-        own = [s for s in members if s in quota]
-        for use in range(sum(repeats[s] for s in own)):  # the n-th use of the same tokens costs n - 1: convex
-            arcs.append((0, 1 + k, tokens, use))
-            meaning.append(None)
-        for s in own:
-            arcs.append((1 + k, source_node[s], tokens * repeats[s], 0))
-            meaning.append((k, s))
-    for s, q in quota.items():
-        arcs.append((source_node[s], sink, q, 0))
-        meaning.append(None)
-    flow = min_cost_flow(arcs, sink + 1, 0, sink)
-    return {m: f for m, f in zip(meaning, flow, strict=True) if m and f}, quota
+    return shared_flow(patterns, repeats, quota), quota
 
 
 def plan_mixture(sized: DataFrame, targets: DataFrame, total: int | None = None) -> tuple[list[dict], list[dict]]:
@@ -145,7 +199,9 @@ def plan_mixture(sized: DataFrame, targets: DataFrame, total: int | None = None)
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     patterns = [(tuple(r["sources"]), int(r["tokens"])) for r in rows]
     wanted = targets.groupBy(source_key(F.col("source")).alias("key")).agg(F.max(F.struct(F.coalesce(F.col("target_weight").cast("double"), F.lit(0.0)).alias("w"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(1)).alias("r"), F.col("source"))).alias("t"))
-    named = wanted.where("key is not null").orderBy("key").limit(MAX_PATTERNS).collect()
+    named = wanted.where("key is not null").orderBy("key").limit(MAX_PATTERNS + 1).collect()
+    if len(named) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} targets")
     total = sum(t for _, t in patterns) if total is None else total
     flow, quota = route(patterns, [(r["key"], r["t"]["w"], r["t"]["r"]) for r in named], total)
     intervals, begin = [], [0] * len(patterns)
@@ -178,17 +234,17 @@ def select_documents(sized: DataFrame, intervals: list[dict], seed: int = 42, bu
     inside = F.sum("tokens").over(Window.partitionBy("sources", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1))
     placed = base.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before, ["sources", "bucket"]).withColumn("at", F.col("before") + F.col("inside"))
     uses = F.expr("floor((end - 1 - at) / length) - floor((begin - 1 - at) / length)").cast("bigint")
-    return placed.join(F.broadcast(plan), "sources").select("id", "source", uses.alias("repeats"), "tokens").where("repeats > 0")  # one row per pattern and source, at most MAX_PATTERNS
+    return placed.join(plan, "sources").select("id", "source", uses.alias("repeats"), "tokens").where("repeats > 0")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 42, shared: bool = False) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 42, shared: bool = True) -> tuple[DataFrame, DataFrame]:
     """(selection, report). selection: ``doc_id, source, repeats, tokens``; report: one row per target source with
     ``source, target_weight, max_repeats, quota, available, taken, actual_share, met``.
 
     quota = target_weight x tokens of all documents with non-blank text and a source. A source that cannot reach its quota is
     used max_repeats times over and has met = false. Null sources and texts take no part; rows that repeat count each; empty
-    tables give an empty selection and a report without tokens. ``shared=True``: a text that occurs under several sources is one
-    document that each of them may use (see ``shared_documents``); quotas stay the same.
+    tables give an empty selection and a report without tokens. ``shared``: a text that occurs under several sources is one
+    document that each of them may use (see ``shared_documents``); quotas, and which of them can be met, stay the same.
     """
     spark: SparkSession = documents.sparkSession
     sized = materialize((shared_documents if shared else sized_documents)(documents, tokenizer))

@@ -138,10 +138,87 @@ def test_agreement_and_ties(spark):
     assert C.reliability(none, ["item"]).count() == 0 and C.krippendorff_alpha(C.consensus(none, C.reliability(none, ["item"]), ["item"])).first()["alpha"] is None
 
 
-def test_flow_is_cheapest():
-    arcs = [(0, 1, 10, 0), (0, 1, 10, 1), (0, 2, 5, 0), (1, 3, 20, 0), (2, 3, 5, 0), (3, 4, 14, 0)]
-    f = M.min_cost_flow(arcs, 5, 0, 4)
-    assert f[5] == 14 and f[0] == 10 or f[0] + f[2] == 14 and f[1] == 0
+def shortest_paths(patterns, repeats, quota):
+    """(total flow, cost) by successive shortest paths, one unit of use at a time: the definition."""
+    cost = 0
+    supply = {(k, u): t for k, (m, t) in enumerate(patterns) for u in range(1, sum(repeats[s] for s in m if s in quota) + 1)}
+    names = list(quota)
+    cap = {(k, s): t * repeats[s] for k, (m, t) in enumerate(patterns) for s in m if s in quota}
+    arcs = []
+    node = {("p", k): 1 + k for k in range(len(patterns))} | {("s", s): 1 + len(patterns) + j for j, s in enumerate(names)}
+    sink = 1 + len(patterns) + len(names)
+    for (k, u), t in supply.items():
+        arcs.append([0, node["p", k], t, u - 1])
+    for (k, s), c in cap.items():
+        arcs.append([node["p", k], node["s", s], c, 0])
+    for s in names:
+        arcs.append([node["s", s], sink, quota[s], 0])
+    edges = [e for a, b, c, w in arcs for e in ([a, b, c, w], [b, a, 0, -w])]
+    flow = 0
+    while True:
+        dist, via = {0: 0}, {}
+        for _ in range(sink + 1):
+            for j, (a, b, c, w) in enumerate(edges):
+                if c > 0 and a in dist and dist[a] + w < dist.get(b, 1e18):
+                    dist[b], via[b] = dist[a] + w, j
+        if sink not in dist:
+            return flow, cost
+        path, v = [], sink
+        while v:
+            path.append(via[v])
+            v = edges[via[v]][0]
+        push = min(edges[j][2] for j in path)
+        for j in path:
+            edges[j][2] -= push
+            edges[j ^ 1][2] += push
+        flow, cost = flow + push, cost + push * dist[sink]
+
+
+def spread_cost(patterns, flow):
+    out = 0
+    for k, (_, t) in enumerate(patterns):
+        used, n = sum(f for (p, _), f in flow.items() if p == k), 0
+        while used > 0:
+            out += min(used, t) * n
+            used, n = used - t, n + 1
+    return out
+
+
+def test_flow_is_cheapest_and_maximal():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(150):
+        names = "abcd"[: rng.randint(1, 4)]
+        patterns = [(tuple(sorted(rng.sample(names, rng.randint(1, len(names))))), rng.randint(1, 30)) for _ in range(rng.randint(1, 6))]
+        repeats, quota = {s: rng.randint(0, 3) for s in names}, {s: rng.randint(0, 60) for s in names}
+        flow = M.shared_flow(patterns, repeats, quota)
+        assert all(s in patterns[k][0] and f <= patterns[k][1] * repeats[s] for (k, s), f in flow.items())
+        assert all(sum(f for (_, q), f in flow.items() if q == s) <= quota[s] for s in names)
+        assert (sum(flow.values()), spread_cost(patterns, flow)) == shortest_paths(patterns, repeats, quota)
+
+
+def test_greedy_by_source_would_repeat_needlessly():
+    """Whoever chooses first must leave the shared text to the source that has nothing else."""
+    flow = M.shared_flow([(("a", "b"), 100), (("a",), 100)], {"a": 1, "b": 1}, {"a": 100, "b": 100})
+    assert flow == {(0, "b"): 100, (1, "a"): 100}
+
+
+def test_many_patterns_and_repeats_end():
+    import time
+
+    patterns = [((f"s{k % 50}", f"s{(k * 7 + 1) % 50}"), 10 + k % 13) for k in range(20_000)]
+    began = time.time()
+    flow = M.shared_flow(patterns, {f"s{k}": 1_000_000 for k in range(50)}, {f"s{k}": 40_000 * (k + 1) for k in range(50)})
+    assert sum(flow.values()) == 40_000 * 50 * 51 // 2 and time.time() - began < 60
+
+
+def test_too_many_targets_raise(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_PATTERNS", 3)
+    sized = spark.createDataFrame([(1, ["a"], 5)], "id long, sources array<string>, tokens long")
+    targets = spark.createDataFrame([(f"s{k}", 0.1, 1) for k in range(4)], "source string, target_weight double, max_repeats int")
+    with pytest.raises(ValueError, match="targets"):
+        M.plan_mixture(sized, targets)
 
 
 def test_overlapping_sources_share():

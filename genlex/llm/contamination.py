@@ -1,13 +1,16 @@
 """Problem 7: documents that contain text of evaluation items, whole or in part, exactly or edited.
 
 Method: rare n-gram seeds join documents to items, then Smith-Waterman alignment on words scores the edited copies. The seed
-length is the longest run of words that every qualifying passage must leave intact, so seeds are as rare as they can be
-without losing a case: of 20 words with at most one in eight swapped, some six in a row are untouched.
+length is the longest run of words that every qualifying passage must leave intact, so seeds are as long as they can be
+without losing a case: of 20 words with at most one in eight swapped, some six in a row are untouched. How rare a seed is comes
+from its document frequency. One that too large a share of the documents has (a stock phrase) joins nothing by itself: it
+counts only together with a second run of the item near it, which every qualifying passage must have too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -19,20 +22,36 @@ from genlex.session import materialize
 from .lookalikes import _tables, compose
 
 MATCH, MISMATCH, GAP = 2, -2, -2
-MAX_BROADCAST_SEEDS = 4_000_000  # 16 bytes each: above it the seeds are joined by shuffle
+MAX_BROADCAST_SEEDS = 4_000_000  # 8 bytes each: above it the seeds are joined by shuffle
 PAIRS_PER_TASK = 256  # alignment is arithmetic on few bytes: tasks are cut by number of pairs, not by size
+ITEMS_PER_SHARE = 64  # a document with more candidates is split over several tasks
+STRETCH = 4096  # tokens of a document that are aligned at once: memory is bounded by this times the item
 INLINE = "i|b|em|strong|u|s|span|a|sup|sub|small|mark|font|q|cite|abbr|code"
 TOKEN = r"[\p{L}\p{N}\p{M}]+"
 
 
+@cache
+def _unusual() -> str:
+    """A pattern of the characters that ``translate`` or ``compose`` may change: all but ASCII, the usual accented letters and signs
+    that are no part of a token before or after."""
+    source, _, _ = _tables()
+    usual = "".join(c for c in "àâäçéèêëîïôöùûüÿœæÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŸŒÆñÑáíóúÁÍÓÚß¿¡" if c not in source) + "«»’‘“”–—…€°·•"
+    return f"[^\\x00-\\x7f{usual}]"
+
+
 def plain_text(text: Column) -> Column:
-    """Lower-case text without markup, note marks, invisible and look-alike characters, in composed characters."""
-    text = F.regexp_replace(text, rf"(?i)</?(?:{INLINE})(?:\s[^<>]*)?>", "")
-    text = F.regexp_replace(text, r"<[/!a-zA-Z][^<>]*>", " ")
-    text = F.regexp_replace(text, r"&(?:nbsp|amp|quot|apos|lt|gt|laquo|raquo|#\d{1,6}|#x[0-9a-fA-F]{1,6});", " ")
-    text = F.regexp_replace(text, r"\[(?:\d{1,3}|[a-z]|note \d{1,3})\]|[⁰¹²³⁴-⁹]+", "")
+    """Lower-case text without markup, note marks, invisible and look-alike characters, in composed characters.
+
+    Most texts have nothing of some of these: a look for the first sign of them is cheaper than the replacement.
+    """
+    marked = F.regexp_replace(text, rf"(?i)</?(?:{INLINE})(?:\s[^<>]*)?>", "")
+    marked = F.regexp_replace(marked, r"<[/!a-zA-Z][^<>]*>", " ")
+    text = F.when(F.contains(text, F.lit("<")), marked).otherwise(text)
+    text = F.when(F.contains(text, F.lit("&")), F.regexp_replace(text, r"&(?:nbsp|amp|quot|apos|lt|gt|laquo|raquo|#\d{1,6}|#x[0-9a-fA-F]{1,6});", " ")).otherwise(text)
+    noted = F.regexp_replace(text, r"\[(?:\d{1,3}|[a-z]|note \d{1,3})\]|[⁰¹²³⁴-⁹]+", "")
+    text = F.when(text.rlike(r"[\[⁰¹²³⁴-⁹]"), noted).otherwise(text)
     source, target, _ = _tables()
-    return F.lower(compose(F.translate(text, source, target)))
+    return F.lower(F.when(text.rlike(_unusual()), compose(F.translate(text, source, target))).otherwise(text))
 
 
 def tokens(text: Column) -> Column:
@@ -54,10 +73,48 @@ def seed_length(n_words: int, least_words: int, one_in: int) -> int:
     return max(1, min(runs))
 
 
+def seed_lengths(n_words: Column, least_words: int, one_in: int) -> Column:
+    """``seed_length`` of a column: from ``least_words`` on it is one number, the least of all longer items (it only rises from period to period)."""
+    floor = min(seed_length(n, least_words, one_in) for n in range(least_words, least_words + one_in * least_words))
+    swaps = F.floor(n_words / one_in)
+    return F.when(n_words >= least_words, floor).otherwise(F.greatest(F.lit(1), F.ceil((n_words - swaps) / (swaps + 1)))).cast("int")
+
+
+def context_length(least_words: int, one_in: int) -> int:
+    """The second run of intact words, beside any seed, that a passage must have within the reach of ``2 least_words`` words.
+
+    A longer passage cut into pieces of ``least_words`` to ``2 least_words`` - 1 words has a piece with no larger share of
+    changed words, so it is enough to look at these: s changes and the seed part the rest of the piece into s + 2 runs.
+    """
+    n_seed = min(seed_length(n, least_words, one_in) for n in range(least_words, least_words + one_in * least_words))
+    return min(-(-(n - n_seed - n // one_in) // (n // one_in + 2)) for n in range(least_words, 2 * least_words))
+
+
+def runs(toks: Column, n: int) -> Column:
+    """Hashes of all runs of n tokens, in their order; runs of tokens that are hashed already cost n numbers each."""
+    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(0), F.size(toks) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(toks, i + k) for k in range(n)]))
+
+
 def grams(toks: Column, n: int) -> Column:
     """Hashes of all runs of n tokens, distinct."""
-    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(toks, i, n))))
+    return F.array_distinct(runs(toks, n))
+
+
+def seed_contexts(toks: Column, words: Column, seeds: Column | None, n: int, c: int, reach: int) -> Column:
+    """``array<struct<gram, near>>``, distinct: each seed (only those in ``seeds`` if given) with the hash of each run of ``c`` tokens beside it,
+    at most ``reach`` words away. ``words``: number of the word of each token."""
+    near = runs(toks, c)
+    own = F.transform(runs(toks, n), lambda g, i: F.struct(g.alias("g"), i.alias("i")))
+    if seeds is not None:
+        own = F.filter(own, lambda x: F.array_contains(seeds, x["g"]))
+
+    def beside(x: Column) -> Column:
+        # a word has at least one token, so the runs within reach lie within reach x the most tokens of a word; words tell exactly
+        others = F.filter(F.transform(near, lambda h, j: F.struct(h.alias("h"), j.alias("j"))), lambda y: ((y["j"] + c <= x["i"]) | (y["j"] >= x["i"] + n)) & (F.abs(F.get(words, y["j"]) - F.get(words, x["i"])) <= reach))
+        return F.transform(others, lambda y: F.struct(x["g"].alias("gram"), y["h"].alias("near")))
+
+    return F.array_distinct(F.flatten(F.transform(own, beside)))
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
@@ -134,37 +191,42 @@ def can_hold(part: np.ndarray, item: np.ndarray, word: np.ndarray, need: int, on
     return any((total[n:] - total[:-n]).min() * one_in <= n for n in range(need, min(2 * need - 1, len(absent)) + 1))
 
 
-def _score(least_words: int, one_in: int):
-    def clusters(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int]]:
-        """Stretches of the document round the seeds, so that long documents are aligned only where the item can be."""
-        seeds = {tuple(item[k : k + n].tolist()) for k in range(len(item) - n + 1)}
-        reach = len(item) + len(item) // one_in + 8
-        out: list[tuple[int, int]] = []
-        known = np.isin(doc, item)
-        run = 0
-        for k in range(len(doc)):
-            run = run + 1 if known[k] else 0
-            if run >= n and tuple(doc[k - n + 1 : k + 1].tolist()) in seeds:
-                a, b = max(0, k - reach), min(len(doc), k + reach)
-                if out and a <= out[-1][1]:
-                    out[-1] = (out[-1][0], b)
-                else:
-                    out.append((a, b))
-        return out
+def stretches(doc: np.ndarray, item: np.ndarray, n: int, one_in: int, limit: int = STRETCH) -> list[tuple[int, int]]:
+    """Stretches of the document round the seeds, so that long documents are aligned only where the item can be.
+
+    Touching ones are joined, and joined ones longer than ``limit`` cut with overlaps that hold any passage whole.
+    """
+    seeds = {item[k : k + n].tobytes() for k in range(len(item) - n + 1)}
+    reach = len(item) + len(item) // one_in + 8
+    known = np.concatenate([[0], np.cumsum(np.isin(doc, item))])
+    out: list[tuple[int, int]] = []
+    for k in np.flatnonzero(known[n:] - known[:-n] == n).tolist() if len(doc) >= n else []:
+        if doc[k : k + n].tobytes() in seeds:
+            a, b = max(0, k + n - reach), min(len(doc), k + n + reach)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    limit = max(limit, 4 * reach)
+    return [(a, min(a + limit, hi)) for lo, hi in out for a in range(lo, max(lo + 1, hi - 2 * reach), limit - 2 * reach)]
 
+
+def _score(least_words: int, one_in: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc_id, item_id, doc_toks, item_toks, n in zip(pdf["doc_id"], pdf["item_id"], pdf["doc_toks"], pdf["item_toks"], pdf["n"], strict=True):
-                code: dict[str, int] = {}
-                item = np.array([code.setdefault(x["t"], len(code)) for x in item_toks], dtype=np.int64)
-                word = np.array([x["w"] for x in item_toks], dtype=np.int64)
-                doc = np.array([code.get(t, -1) for t in doc_toks], dtype=np.int64)
+            rows, prepared = [], {}
+            for doc_id, item_id, doc_toks, item_toks, item_words, n in zip(pdf["doc_id"], pdf["item_id"], pdf["doc_toks"], pdf["item_toks"], pdf["item_words"], pdf["n"], strict=True):
+                if item_id not in prepared:
+                    code: dict[str, int] = {}
+                    item = np.array([code.setdefault(t, len(code)) for t in item_toks], dtype=np.int64)
+                    prepared[item_id] = code, item, np.asarray(item_words, dtype=np.int64)
+                code, item, word = prepared[item_id]
+                doc = np.fromiter((code.get(t, -1) for t in doc_toks), dtype=np.int64, count=len(doc_toks))
                 n_words = int(word[-1]) + 1
                 need = min(least_words, n_words)
                 least_score = max(MATCH, (need - need // one_in) * MATCH + (need // one_in) * 2 * MISMATCH)
                 best = (0, 0, 0)
-                for a, b in clusters(doc, item, int(n)):
+                for a, b in stretches(doc, item, int(n), one_in):
                     part = doc[a:b].copy()
                     # the best alignment need not be the one that holds the passage: go on with the rest of the stretch
                     while can_hold(part, item, word, need, one_in):
@@ -183,38 +245,72 @@ def _score(least_words: int, one_in: int):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, one_in: int = 8) -> DataFrame:
+def _seeds(prepared: DataFrame, sizes: list[int]) -> DataFrame:
+    """``(item_id, gram)``: the runs of each item by its own seed length."""
+    parts = [prepared.where(F.col("n") == n).select("item_id", F.explode(grams(F.col("hashes"), n)).alias("gram")) for n in sizes]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Written data with a broadcast hint if its counted size allows it."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_SEEDS else df
+
+
+def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, one_in: int = 8, common_share: float = 0.001) -> DataFrame:
     """``(doc_id, item_id, n_words, n_changed, score, item_words)``: one row per document and item of which it holds the whole
     text or at least ``least_words`` consecutive words, at most one word in ``one_in`` of them changed.
 
     ``documents``: (doc_id, text), ``items``: (item_id, text); other columns are ignored. Rows without id and null or wordless texts match nothing,
-    repeated document rows give one row per id, empty tables none. All documents are searched in full with all runs of words;
-    only ids and 8-byte hashes of runs that are seeds leave the scan, and texts are read again for candidates only. Documents
-    are never grouped, so a text that makes up a third of all rows is no hot key.
+    rows of one id are searched each and give its best match, empty tables none. All documents are searched in full with all runs
+    of words; only ids and 8-byte hashes of runs that are seeds leave the scan, and texts are read again for candidates only.
+    A seed in more than ``common_share`` of the documents is no evidence alone: it needs a second run of ``context_length`` tokens
+    within reach, on both sides (items under ``least_words`` words have no room for one, their seeds always count). The cost of a
+    stock phrase thus grows with its documents, not with documents times items. Documents are never grouped, and one with very
+    many candidates is split, so neither a text that makes up a third of all rows nor a page of all items is a hot key.
     """
-    prepared = items.where("item_id is not null").select("item_id", words_of_tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
-    n_words = F.element_at("toks", -1)["w"] + 1
-    lengths = F.udf(lambda n: seed_length(n, least_words, one_in), "int")
-    prepared = materialize(prepared.select("item_id", "toks", lengths(n_words).alias("n")))  # one number per item: the bench set is small against the corpus
-    sizes = sorted(r["n"] for r in prepared.select("n").distinct().collect())  # at most one_in different numbers
-    toks = F.transform("toks", lambda x: x["t"])
-    seeds = None
-    for n in sizes:
-        part = prepared.where(F.col("n") == n).select("item_id", F.explode(grams(toks, n)).alias("gram"))
-        seeds = part if seeds is None else seeds.unionByName(part)
+    spark = documents.sparkSession
     out_schema = "doc_id bigint, item_id bigint, n_words int, n_changed int, score int, item_words int"
-    if seeds is None:
-        return documents.sparkSession.createDataFrame([], out_schema)
-    seeds = materialize(seeds)
-    if seeds.count() <= MAX_BROADCAST_SEEDS:
-        seeds = F.broadcast(seeds)
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and doc_id is not null")
-    found = texts.select("doc_id", tokens(F.col("text")).alias("toks"))
-    found = found.select("doc_id", F.explode(F.array_distinct(F.concat(*[grams(F.col("toks"), n) for n in sizes]))).alias("gram"))
-    candidates = materialize(found.join(seeds, "gram").select("doc_id", "item_id").distinct())
-    chosen = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    tasks = max(1, -(-candidates.count() // PAIRS_PER_TASK))
-    # both sides by doc_id into as many parts as the alignment needs: a text is shuffled once, not once for each of its items
-    found_toks = chosen.repartition(tasks, "doc_id").select("doc_id", tokens(F.col("text")).alias("doc_toks"))
-    pairs = found_toks.join(candidates.repartition(tasks, "doc_id"), "doc_id").join(prepared.select("item_id", F.col("toks").alias("item_toks"), "n"), "item_id")
-    return pairs.select("doc_id", "item_id", "doc_toks", "item_toks", "n").mapInPandas(_score(least_words, one_in), out_schema)
+    toks = words_of_tokens(F.col("text"))
+    prepared = items.where("item_id is not null").select("item_id", toks.alias("toks")).where(F.size("toks") > 0)
+    prepared = prepared.select("item_id", F.transform("toks", lambda x: x["t"]).alias("item_toks"), F.transform("toks", lambda x: x["w"]).alias("item_words"))
+    n_words = F.element_at("item_words", -1) + 1
+    prepared = materialize(prepared.select("*", F.transform("item_toks", lambda t: F.xxhash64(t)).alias("hashes"), n_words.alias("n_words"), seed_lengths(n_words, least_words, one_in).alias("n")))
+    sizes = sorted(r["n"] for r in prepared.select("n").distinct().collect())  # at most least_words different numbers
+    if not sizes:
+        return spark.createDataFrame([], out_schema)
+    seeds = materialize(_seeds(prepared, sizes))
+    known = _small(materialize(seeds.select("gram").distinct()))
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and doc_id is not null").withColumn("row", F.xxhash64("text"))
+    found = texts.select("doc_id", "row", F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("hashes"))
+    found = found.select("doc_id", "row", F.explode(F.array_distinct(F.concat(*[runs(F.col("hashes"), n) for n in sizes]))).alias("gram"))
+    hits = materialize(found.join(known, "gram", "left_semi"))
+    key = ["doc_id", "row"]
+    frequent = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > F.lit(common_share) * texts.count()).select("gram")
+    context, long_items = context_length(least_words, one_in), prepared.where(F.col("n_words") >= least_words)
+    common = materialize(frequent.join(_seeds(long_items, sizes).select("gram").distinct(), "gram", "left_semi") if context >= 2 else frequent.limit(0))
+    # a gram may be common and still count alone for a short item
+    alone = seeds.join(common, "gram", "left_anti").unionByName(seeds.join(prepared.where(F.col("n_words") < least_words).select("item_id"), "item_id", "left_semi").join(common, "gram", "left_semi").select("item_id", "gram"))
+    candidates = hits.join(alone, "gram").select(*key, "item_id")
+    if not common.isEmpty():
+        n = min(seed_length(k, least_words, one_in) for k in range(least_words, least_words + one_in * least_words))
+        reach = 2 * least_words + (2 * least_words) // one_in + 2
+        asked = long_items.join(seeds.join(common, "gram", "left_semi").groupBy("item_id").agg(F.collect_set("gram").alias("seeds")), "item_id")
+        asked = materialize(asked.select("item_id", F.explode(seed_contexts(F.col("hashes"), F.col("item_words"), F.col("seeds"), n, context, reach)).alias("x")).select("item_id", "x.gram", "x.near"))
+        suspects = hits.join(common, "gram", "left_semi").groupBy(*key).agg(F.collect_set("gram").alias("seeds"))  # at most the runs of one text
+        again = texts.join(suspects, key).select(*key, "seeds", words_of_tokens(F.col("text")).alias("toks"))
+        again = again.select(*key, "seeds", F.transform("toks", lambda x: F.xxhash64(x["t"])).alias("hashes"), F.transform("toks", lambda x: x["w"]).alias("words"))
+        pairs = again.select(*key, F.explode(seed_contexts(F.col("hashes"), F.col("words"), F.col("seeds"), n, context, reach)).alias("x")).select(*key, "x.gram", "x.near")
+        candidates = candidates.unionByName(pairs.join(_small(asked), ["gram", "near"]).select(*key, "item_id"))
+    candidates = materialize(candidates.distinct())
+    total = candidates.count()
+    tasks = max(1, min(-(-total // PAIRS_PER_TASK), max(200, 8 * spark.sparkContext.defaultParallelism)))
+    shares = candidates.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / ITEMS_PER_SHARE).alias("shares"))
+    placed = candidates.join(shares, key).withColumn("share", F.pmod(F.xxhash64("item_id"), F.col("shares"))).drop("shares")
+    spread = shares.select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"))
+    key = [*key, "share"]
+    # both sides by document into as many parts as the alignment needs: a text is shuffled once for each share, not for each of its items
+    found_toks = texts.join(spread, ["doc_id", "row"]).repartition(tasks, *key).select(*key, tokens(F.col("text")).alias("doc_toks"))
+    pairs = found_toks.join(placed.repartition(tasks, *key), key).join(prepared.select("item_id", "item_toks", "item_words", "n"), "item_id")
+    scored = pairs.select("doc_id", "item_id", "doc_toks", "item_toks", "item_words", "n").mapInPandas(_score(least_words, one_in), out_schema)
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("n_changed")).alias("kept"), "score", "item_words")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_words", (-F.col("b.kept")).alias("n_changed"), "b.score", "b.item_words")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from genlex.llm import contamination as K
 from genlex.llm import pii as P
@@ -88,6 +89,50 @@ def test_seed_length():
     assert K.seed_length(50, 20, 8) <= 6 and K.seed_length(9, 20, 8) == 4 and K.seed_length(3, 20, 8) == 3
 
 
+def test_seed_lengths_of_a_column(spark):
+    df = spark.range(1, 200).select(F.col("id").cast("int").alias("k"))
+    for least, one_in in ((20, 8), (12, 5)):
+        for r in df.select("k", K.seed_lengths(F.col("k"), least, one_in).alias("n")).collect():
+            assert r["n"] <= K.seed_length(r["k"], least, one_in) and (r["n"] == K.seed_length(r["k"], least, one_in) or r["k"] >= least)
+    assert K.context_length(20, 8) == 3
+
+
+def test_rows_of_one_id_are_all_searched(spark):
+    d = spark.createDataFrame([(1, ITEM), (1, "zzz tout autre chose"), (2, " ".join(WORDS[:25])), (2, ITEM)], "doc_id long, text string")
+    assert [(r["doc_id"], r["n_words"]) for r in K.leaks(d, items(spark, ITEM)).orderBy("doc_id").collect()] == [(1, 50), (2, 50)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.001, 2.0])
+def test_a_stock_phrase_is_no_evidence_alone(spark, share, monkeypatch):
+    """A phrase of eight words in every document and every item: the same rows whatever counts as common, and few candidates if it does."""
+    stock = "selon la coutume du pays tous les voisins"
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(WORDS, k=30)) + f" {stock} " + " ".join(rng.choices(WORDS, k=30)) for _ in range(200)]
+    bench = [" ".join(rng.choices(WORDS, k=14)) + f" {stock} " + " ".join(rng.choices(WORDS, k=14)) for _ in range(20)]
+    texts += ["x " + b for b in bench[:5]] + [" ".join(b.split()[8:30]) for b in bench[5:10]]
+    edited = bench[10].split()
+    edited[13], edited[23] = "autre", "autre"
+    texts.append(" ".join(edited[3:33]))
+    counted = []
+    monkeypatch.setattr(K, "PAIRS_PER_TASK", 10**9)
+    inner = K.materialize
+    monkeypatch.setattr(K, "materialize", lambda df: counted.append(df.columns) or (counted.append(inner(df)) or counted[-1]))
+    got = pairs(K.leaks(docs(spark, *texts), items(spark, *bench), common_share=share))
+    assert got == [(200 + k, 100 + k) for k in range(10)] + [(210, 110)]
+    tried = [c for c in counted if not isinstance(c, list)][-1].count()
+    assert tried >= 4000 if share > 1 else tried < 60
+
+
+def test_stretches_are_bounded_and_whole():
+    import numpy as np
+
+    item = np.arange(40)
+    doc = np.concatenate([np.tile(np.r_[item[:6], [-1] * 6], 900), item, [-1] * 50])
+    cut = K.stretches(doc, item, 6, 8, 500)
+    assert max(b - a for a, b in cut) <= 500 and any(a <= 10_800 and 10_840 <= b for a, b in cut)
+    assert K.stretches(doc[:3], item, 6, 8) == [] and K.stretches(np.full(30, -1), item, 6, 8) == []
+
+
 GIVEN = ["Zoé", "Léon", "Rose"]
 
 

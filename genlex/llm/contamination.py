@@ -10,7 +10,7 @@ counts only together with a second run of the item near it, which every qualifyi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,13 +30,9 @@ INLINE = "i|b|em|strong|u|s|span|a|sup|sub|small|mark|font|q|cite|abbr|code"
 TOKEN = r"[\p{L}\p{N}\p{M}]+"
 
 
-@cache
-def _unusual() -> str:
-    """A pattern of the characters that ``translate`` or ``compose`` may change: all but ASCII, the usual accented letters and signs
-    that are no part of a token before or after."""
-    source, _, _ = _tables()
-    usual = "".join(c for c in "àâäçéèêëîïôöùûüÿœæÀÂÄÇÉÈÊËÎÏÔÖÙÛÜŸŒÆñÑáíóúÁÍÓÚß¿¡" if c not in source) + "«»’‘“”–—…€°·•"
-    return f"[^\\x00-\\x7f{usual}]"
+def _where(text: Column, sign, change) -> Column:
+    """``change`` of the texts that have a ``sign``, others as they are; the text is computed once."""
+    return F.transform(F.array(text), lambda t: F.when(sign(t), change(t)).otherwise(t))[0]
 
 
 def plain_text(text: Column) -> Column:
@@ -44,14 +40,12 @@ def plain_text(text: Column) -> Column:
 
     Most texts have nothing of some of these: a look for the first sign of them is cheaper than the replacement.
     """
-    marked = F.regexp_replace(text, rf"(?i)</?(?:{INLINE})(?:\s[^<>]*)?>", "")
-    marked = F.regexp_replace(marked, r"<[/!a-zA-Z][^<>]*>", " ")
-    text = F.when(F.contains(text, F.lit("<")), marked).otherwise(text)
-    text = F.when(F.contains(text, F.lit("&")), F.regexp_replace(text, r"&(?:nbsp|amp|quot|apos|lt|gt|laquo|raquo|#\d{1,6}|#x[0-9a-fA-F]{1,6});", " ")).otherwise(text)
-    noted = F.regexp_replace(text, r"\[(?:\d{1,3}|[a-z]|note \d{1,3})\]|[⁰¹²³⁴-⁹]+", "")
-    text = F.when(text.rlike(r"[\[⁰¹²³⁴-⁹]"), noted).otherwise(text)
     source, target, _ = _tables()
-    return F.lower(F.when(text.rlike(_unusual()), compose(F.translate(text, source, target))).otherwise(text))
+    tags = lambda t: F.regexp_replace(F.regexp_replace(t, rf"(?i)</?(?:{INLINE})(?:\s[^<>]*)?>", ""), r"<[/!a-zA-Z][^<>]*>", " ")
+    text = _where(text, lambda t: F.contains(t, F.lit("<")), tags)
+    text = _where(text, lambda t: F.contains(t, F.lit("&")), lambda t: F.regexp_replace(t, r"&(?:nbsp|amp|quot|apos|lt|gt|laquo|raquo|#\d{1,6}|#x[0-9a-fA-F]{1,6});", " "))
+    text = _where(text, lambda t: t.rlike(r"[\[⁰¹²³⁴-⁹]"), lambda t: F.regexp_replace(t, r"\[(?:\d{1,3}|[a-z]|note \d{1,3})\]|[⁰¹²³⁴-⁹]+", ""))
+    return F.lower(F.transform(F.array(F.translate(text, source, target)), compose)[0])
 
 
 def tokens(text: Column) -> Column:
@@ -183,10 +177,14 @@ def can_hold(part: np.ndarray, item: np.ndarray, word: np.ndarray, need: int, on
     """Whether enough words of the item occur in this stretch at all; False rules a passage out exactly.
 
     A passage of n words has at most n / one_in words that do not occur. Cut into pieces of ``need`` to 2 ``need`` - 1 words, one
-    piece has no larger share of them, so looking at windows of these lengths is enough.
+    piece has no larger share of them, so looking at windows of these lengths is enough. Tokens are numbered from 0 by the item.
     """
+    there = np.zeros(int(item.max()) + 1, dtype=bool)
+    there[part[part >= 0]] = True
     absent = np.zeros(int(word[-1]) + 1, dtype=np.int64)
-    np.maximum.at(absent, word, (~np.isin(item, part)).astype(np.int64))
+    absent[word[~there[item]]] = 1
+    if len(absent) - int(absent.sum()) < need - need // one_in:
+        return False
     total = np.concatenate([[0], np.cumsum(absent)])
     return any((total[n:] - total[:-n]).min() * one_in <= n for n in range(need, min(2 * need - 1, len(absent)) + 1))
 
@@ -198,7 +196,7 @@ def stretches(doc: np.ndarray, item: np.ndarray, n: int, one_in: int, limit: int
     """
     seeds = {item[k : k + n].tobytes() for k in range(len(item) - n + 1)}
     reach = len(item) + len(item) // one_in + 8
-    known = np.concatenate([[0], np.cumsum(np.isin(doc, item))])
+    known = np.concatenate([[0], np.cumsum(doc >= 0)])  # words that the item lacks are negative
     out: list[tuple[int, int]] = []
     for k in np.flatnonzero(known[n:] - known[:-n] == n).tolist() if len(doc) >= n else []:
         if doc[k : k + n].tobytes() in seeds:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .pii_model import decode, normal_given, trained_weights
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
-MAX_NAMES = 500_000  # the name list travels with every task; a longer one is refused
+MAX_NAMES = 500_000  # the name list is broadcast to every executor; a longer one is refused
 
 
 def _names(first_names: DataFrame) -> list[str]:
@@ -25,6 +25,12 @@ def _names(first_names: DataFrame) -> list[str]:
     return sorted(names)
 
 
+def _model(documents: DataFrame, first_names: DataFrame, sentences: int):
+    """The trained weights and the name list, broadcast once to every executor: sizes bounded by the feature set and by MAX_NAMES."""
+    given = normal_given(_names(first_names))
+    return documents.sparkSession.sparkContext.broadcast((trained_weights(given, sentences), given))
+
+
 def spans(documents: DataFrame, first_names: DataFrame, sentences: int = 3000) -> DataFrame:
     """``(doc_id, start, end, kind, found_text)``: every found value in text order; positions count characters from 0.
 
@@ -32,10 +38,10 @@ def spans(documents: DataFrame, first_names: DataFrame, sentences: int = 3000) -
     bounded number of training sentences the model is fitted on. Null and empty texts give nothing; texts are read whole, of
     any length; repeated rows give repeated results; an empty name list only removes that hint. One narrow pass, no shuffle.
     """
-    given = normal_given(_names(first_names))
-    weights = trained_weights(given, sentences)
+    model = _model(documents, first_names, sentences)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, given = model.value
         for pdf in batches:
             rows = [(doc, a, b, kind, text[a:b]) for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True) for a, b, kind in decode(text, weights, given)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "kind", "found_text"]).astype({"doc_id": "int64", "start": "int32", "end": "int32"})
@@ -49,11 +55,10 @@ def redact(documents: DataFrame, first_names: DataFrame, sentences: int = 3000)
 
     Null texts stay null and empty ones empty, with n_replaced 0.
     """
-    given = normal_given(_names(first_names))
-    weights = trained_weights(given, sentences)
+    model = _model(documents, first_names, sentences)
 
     def clean(text: str | None) -> tuple[str | None, int]:
-        found = decode(text, weights, given) if text else []
+        found = decode(text, *model.value) if text else []
         parts, at = [], 0
         for a, b, kind in sorted(found):
             parts += [text[at:a], PLACEHOLDERS[kind]]

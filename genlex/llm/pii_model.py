@@ -1,20 +1,22 @@
 """The semi-Markov conditional random field behind ``pii``: candidates, whole-span features, decoding and training.
 
-A text is segmented into single ordinary tokens and typed entity segments. Any span that one of the grammars below proposes,
+A text is segmented into ordinary characters and typed entity segments. Any span that one of the grammars below proposes,
 with or without its optional parts, is a candidate segment; its score is the sum of the weights of features of the whole span
-and its surroundings. Bounded-entity dynamic programming (no segment is longer than MAX_TOKENS) finds the best segmentation,
-choosing boundaries and types together. Weights are trained here, on sentences written by ``pii_training``.
+and its surroundings, plus the weight of the transition from what stands before it. Bounded-entity dynamic programming finds the
+best segmentation, choosing boundaries and types together: no segment is longer than the longest candidate of its text, a bound
+that never loses a value. Weights maximise the conditional likelihood (forward-backward over the same lattice), trained here on
+sentences written by ``pii_training``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cache
 
 from .defects import FUNCTION_WORDS
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-MAX_TOKENS = 24
 U, L = "A-ZÀ-ÖØ-Þ", "a-zà-öø-ÿœæ"
 GAP = "[ \\u00a0\\u202f\\u2009\\u2007]"
 
@@ -30,7 +32,6 @@ STREET_EN_SHORT = "St|Rd|Ave|Ln|Dr|Blvd"
 STREET_DE = "stra(?:ß|ss)e|str\\.|gasse|weg|platz|allee|ufer|damm|ring|steig|hof|pfad|chaussee|markt|graben|berg|tor"
 STREET_ES = "calle|c/|avenida|avda?\\.?|plaza|pza\\.?|paseo|camino|carrera|carretera|ronda|travesía|callejón|glorieta|bulevar"
 
-_WORD = re.compile(r"[^\W\d_]+|\d+|\S")
 _GERMAN = frozenset("der die das den dem des ein eine einen und ist nicht mit auf von zum zur ich sie wir im am zu".split())
 _FUNCTION = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split()) | frozenset("de la le les du des un une et est sont on se ni or lorsque quand sachant seul seule nul".split())
 _CAP = f"[{U}][{U}{L}'’]*(?:-[{U}{L}]['’{U}{L}]*)*"
@@ -262,66 +263,74 @@ def features(text: str, a: int, b: int, kind: str, own: list[str]) -> list[str]:
 
 
 def lattice(text: str, given: frozenset[str]) -> list[tuple[int, int, int, int, str, list[str]]]:
-    """Candidate segments as (first token, end token, start, end, kind, features), none longer than MAX_TOKENS."""
+    """Candidate segments as (first place, end place, start, end, kind, features).
+
+    Places count the characters that are not blank, so segments with only blanks between them touch. Every candidate is in the
+    lattice, whatever its length and whatever signs it starts or ends with.
+    """
     found = candidates(text, given)
-    if not found:
-        return []
-    tokens = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    begins = {a: k for k, (a, _) in enumerate(tokens)}
-    ends = {b: k + 1 for k, (_, b) in enumerate(tokens)}
-    segments = []
-    for a, b, kind, own in found:
-        i, j = begins.get(a), ends.get(b)
-        if i is not None and j is not None and 0 < j - i <= MAX_TOKENS:
-            segments.append((i, j, a, b, kind, features(text, a, b, kind, own)))
-    return segments
-
-
-def viterbi(segments: list, weights: dict[str, float], gold: set | None = None) -> list[int]:
-    """Indices of the best set of segments that do not overlap; ordinary tokens score 0, adjacent kinds have a transition weight.
-
-    Segments with ordinary tokens between them do not influence each other, so the programme runs over each stretch of
-    overlapping or touching segments on its own: time and memory follow the candidates, not the length of the text.
-    ``gold``: cost-augmented decoding for training, wrong segments get a bonus.
+    place, at, seen = {}, 0, 0
+    for edge in sorted({x for a, b, _, _ in found for x in (a, b)}):
+        seen += len("".join(text[at:edge].split()))
+        place[edge], at = seen, edge
+    return [(place[a], place[b], a, b, kind, features(text, a, b, kind, own)) for a, b, kind, own in found]
+
+
+def chains(segments: list) -> list[list[int]]:
+    """Stretches of overlapping or touching segments, by start; segments with ordinary text between them do not influence each other.
+
+    Time and memory thus follow the candidates, not the length of the text.
     """
     order = sorted(range(len(segments)), key=lambda k: segments[k][0])
-    chosen, k = [], 0
-    while k < len(order):
-        stretch, end = [order[k]], segments[order[k]][1]
-        k += 1
-        while k < len(order) and segments[order[k]][0] <= end:
-            end = max(end, segments[order[k]][1])
-            stretch.append(order[k])
-            k += 1
-        chosen += _best_path(segments, stretch, weights, gold)
+    out: list[list[int]] = []
+    end = -1
+    for k in order:
+        if out and segments[k][0] <= end:
+            out[-1].append(k)
+        else:
+            out.append([k])
+            end = segments[k][1]
+        end = max(end, segments[k][1])
+    return out
+
+
+def _places(segments: list, stretch: list[int]) -> tuple[list[tuple[int, int]], int]:
+    """((first, end) of each segment of the stretch, number of places): only places where a segment starts or ends are kept."""
+    index = {x: n for n, x in enumerate(sorted({x for k in stretch for x in segments[k][:2]}))}
+    return [(index[segments[k][0]], index[segments[k][1]]) for k in stretch], len(index)
+
+
+def viterbi(segments: list, weights: dict[str, float]) -> list[int]:
+    """Indices of the best set of segments that do not overlap; ordinary text scores 0, each segment has the weight of its transition."""
+    chosen: list[int] = []
+    for stretch in chains(segments):
+        chosen += _best_path(segments, stretch, weights)
     return chosen
 
 
-def _best_path(segments: list, stretch: list[int], weights: dict[str, float], gold: set | None) -> list[int]:
-    origin, by_end, score = segments[stretch[0]][0], {}, {}
-    for k in stretch:
-        i, j, a, b, kind, feats = segments[k]
-        score[k] = sum(weights.get(f, 0.0) for f in feats) + (0.5 if gold is not None and (a, b, kind) not in gold else 0.0)
-        by_end.setdefault(j - origin, []).append(k)
-    n = max(by_end)
-    # best[t][last kind]: (score, segment that ends here or -1, last kind before it); "O" after an ordinary token
+def _best_path(segments: list, stretch: list[int], weights: dict[str, float]) -> list[int]:
+    spans, n = _places(segments, stretch)
+    by_end: list[list[int]] = [[] for _ in range(n)]
+    for j, (_, end) in enumerate(spans):
+        by_end[end].append(j)
+    # best[t][last kind]: (score, segment that ends here or -1, last kind before it); "O" after ordinary text
     best: list[dict[str, tuple[float, int, str]]] = [{"O": (0.0, -1, "")}]
-    for t in range(1, n + 1):
+    for t in range(1, n):
         last, (s, _, _) = max(best[t - 1].items(), key=lambda x: x[1][0])
         here: dict[str, tuple[float, int, str]] = {"O": (s, -1, last)}
-        for k in by_end.get(t, ()):
-            kind = segments[k][4]
-            prev, s = max(((p, v[0] + weights.get(f"{p}>{kind}", 0.0)) for p, v in best[segments[k][0] - origin].items()), key=lambda x: x[1])
-            s += score[k]
+        for j in by_end[t]:
+            kind = segments[stretch[j]][4]
+            prev, s = max(((p, v[0] + weights.get(f"{p}>{kind}", 0.0)) for p, v in best[spans[j][0]].items()), key=lambda x: x[1])
+            s += sum(weights.get(f, 0.0) for f in segments[stretch[j]][5])
             if kind not in here or s > here[kind][0]:
-                here[kind] = (s, k, prev)
+                here[kind] = (s, j, prev)
         best.append(here)
-    t, last, path = n, max(best[n].items(), key=lambda x: x[1][0])[0], []
+    t, last, path = n - 1, max(best[-1].items(), key=lambda x: x[1][0])[0], []
     while t > 0:
-        _, k, prev = best[t][last]
-        if k >= 0:
-            path.append(k)
-            t, last = segments[k][0] - origin, prev
+        _, j, prev = best[t][last]
+        if j >= 0:
+            path.append(stretch[j])
+            t, last = spans[j][0], prev
         else:
             t, last = t - 1, prev
     return path[::-1]
@@ -332,26 +341,77 @@ def decode(text: str, weights: dict[str, float], given: frozenset[str]) -> list[
     return [(segments[k][2], segments[k][3], segments[k][4]) for k in viterbi(segments, weights)]
 
 
-def train(labelled: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[str], epochs: int = 8) -> dict[str, float]:
-    """Averaged structured updates with cost-augmented decoding. Deterministic: sentences in the order given."""
+def _add(table: dict[str, float], key: str, value: float) -> None:
+    """log(exp(old) + exp(value))"""
+    old = table.get(key)
+    table[key] = value if old is None else max(old, value) + math.log1p(math.exp(-abs(old - value)))
+
+
+def marginals(segments: list, stretch: list[int], weights: dict[str, float]) -> tuple[list[dict[str, float]], float]:
+    """(for each segment of the stretch its probability by the kind before it, log of the sum over all segmentations): forward-backward."""
+    spans, n = _places(segments, stretch)
+    kinds = [segments[k][4] for k in stretch]
+    score = [sum(weights.get(f, 0.0) for f in segments[k][5]) for k in stretch]
+    by_end: list[list[int]] = [[] for _ in range(n)]
+    for j, (_, end) in enumerate(spans):
+        by_end[end].append(j)
+    ahead: list[dict[str, float]] = [{"O": 0.0}]
+    for t in range(1, n):
+        here: dict[str, float] = {}
+        for v in ahead[t - 1].values():
+            _add(here, "O", v)
+        for j in by_end[t]:
+            for p, v in ahead[spans[j][0]].items():
+                _add(here, kinds[j], v + weights.get(f"{p}>{kinds[j]}", 0.0) + score[j])
+        ahead.append(here)
+    behind: list[dict[str, float]] = [{} for _ in range(n)]
+    behind[-1] = dict.fromkeys(ahead[-1], 0.0)
+    by_start: list[list[int]] = [[] for _ in range(n)]
+    for j, (start, _) in enumerate(spans):
+        by_start[start].append(j)
+    for t in range(n - 2, -1, -1):
+        for p in ahead[t]:
+            _add(behind[t], p, behind[t + 1]["O"])
+            for j in by_start[t]:
+                _add(behind[t], p, weights.get(f"{p}>{kinds[j]}", 0.0) + score[j] + behind[spans[j][1]][kinds[j]])
+    total = behind[0]["O"]
+    probs = [{p: math.exp(v + weights.get(f"{p}>{kinds[j]}", 0.0) + score[j] + behind[spans[j][1]][kinds[j]] - total) for p, v in ahead[spans[j][0]].items()} for j in range(len(stretch))]
+    return probs, total
+
+
+def train(labelled: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[str], epochs: int = 5, rate: float = 0.4, decay: float = 1e-5) -> dict[str, float]:
+    """Weights of greatest conditional likelihood: adaptive gradient steps, one per stretch, with a small pull to 0. Deterministic."""
     weights: dict[str, float] = {}
-    total: dict[str, float] = {}
-    prepared = [(lattice(text, given), {(a, b, k) for a, b, k in spans}) for text, spans in labelled]
-    step = 1
+    squares: dict[str, float] = {}
+    prepared = []
+    for text, spans in labelled:
+        segments, gold = lattice(text, given), set(spans)
+        for stretch in chains(segments):
+            right = [j for j, k in enumerate(stretch) if (segments[k][2], segments[k][3], segments[k][4]) in gold]
+            place = _places(segments, stretch)[0]
+            before = {}
+            for j in right:  # the kind of the gold segment that ends where this one starts
+                before[j] = next((segments[stretch[i]][4] for i in right if place[i][1] == place[j][0]), "O")
+            prepared.append((segments, stretch, before))
     for _ in range(epochs):
-        for segments, gold in prepared:
-            if not segments:
-                continue
-            guess = viterbi(segments, weights, gold)
-            right = [k for k, s in enumerate(segments) if (s[2], s[3], s[4]) in gold]
-            if set(guess) != set(right):
-                for ks, sign in ((right, 1.0), (guess, -1.0)):
-                    for k in ks:
-                        for f in segments[k][5]:
-                            weights[f] = weights.get(f, 0.0) + sign
-                            total[f] = total.get(f, 0.0) + sign * step
-            step += 1
-    return {f: w - total.get(f, 0.0) / step for f, w in weights.items() if w or total.get(f)}
+        for segments, stretch, before in prepared:
+            probs, _ = marginals(segments, stretch, weights)
+            slope: dict[str, float] = {}
+            for j, k in enumerate(stretch):
+                kind, off = segments[k][4], (1.0 if j in before else 0.0) - sum(probs[j].values())
+                if abs(off) > 1e-3:
+                    for f in segments[k][5]:
+                        slope[f] = slope.get(f, 0.0) + off
+                for p, q in probs[j].items():
+                    d = (1.0 if before.get(j) == p else 0.0) - q
+                    if abs(d) > 1e-3:
+                        slope[f"{p}>{kind}"] = slope.get(f"{p}>{kind}", 0.0) + d
+            for f, g in slope.items():
+                w = weights.get(f, 0.0)
+                g -= decay * w
+                squares[f] = squares.get(f, 0.0) + g * g
+                weights[f] = w + rate * g / math.sqrt(squares[f] + 1e-8)
+    return weights
 
 
 @cache

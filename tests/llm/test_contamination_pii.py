@@ -163,6 +163,50 @@ def test_found_values(spark):
     assert (out[2]["text"], out[2]["n_replaced"], out[3]["text"], out[4]["text"], out[1]["n_replaced"]) == (None, 0, "", "Rien.", 5)
 
 
+def test_long_values_are_found_whole(spark):
+    """No bound on the length of a value may lose it: it would be printed in clear."""
+    email = ".".join(["jean", "paul", "de", "la", "tour"] * 12) + "@mail.service.ville.exemple.fr"
+    d = spark.createDataFrame([(1, f"Écrire à {email} sans tarder."), (2, f"<{email}>")], "doc_id long, text string")
+    assert {(r["doc_id"], r["found_text"]) for r in P.spans(d, names(spark, *GIVEN)).collect()} == {(1, email), (2, email)}
+    assert P.redact(d, names(spark, *GIVEN)).where("doc_id = 1").first()["text"] == "Écrire à [EMAIL] sans tarder."
+
+
+def test_forward_backward_is_the_sum_over_all_segmentations():
+    import itertools
+    import math
+
+    rng = random.Random(4)
+    for _ in range(60):
+        segments = []
+        for _ in range(rng.randint(1, 7)):
+            a = rng.randint(0, 8)
+            segments.append((a, a + rng.randint(1, 4), a, 0, rng.choice(PM.KINDS), [f"f{rng.randint(0, 5)}"]))
+        weights = {f"f{k}": rng.uniform(-2, 2) for k in range(6)} | {f"{p}>{k}": rng.uniform(-1, 1) for p in ("O", *PM.KINDS) for k in PM.KINDS}
+        for stretch in PM.chains(segments):
+            total, mass, best = 0.0, dict.fromkeys(stretch, 0.0), (-1e9, None)
+            for size in range(len(stretch) + 1):
+                for chosen in itertools.combinations(sorted(stretch, key=lambda k: segments[k][0]), size):
+                    if any(segments[i][1] > segments[j][0] for i, j in itertools.pairwise(chosen)):
+                        continue
+                    s, end, last = 0.0, None, "O"
+                    for k in chosen:
+                        s += weights[segments[k][5][0]] + weights[f"{last if end == segments[k][0] else 'O'}>{segments[k][4]}"]
+                        end, last = segments[k][1], segments[k][4]
+                    total += math.exp(s)
+                    best = max(best, (s, chosen))
+                    for k in chosen:
+                        mass[k] += math.exp(s)
+            probs, log_total = PM.marginals(segments, stretch, weights)
+            assert log_total == pytest.approx(math.log(total))
+            assert [sum(p.values()) for p in probs] == pytest.approx([mass[k] / total for k in stretch])
+            assert set(PM._best_path(segments, stretch, weights)) == set(best[1])
+
+
+def test_transitions_are_trained():
+    weights = PM.trained_weights(PM.normal_given(GIVEN))
+    assert all(f"O>{k}" in weights for k in PM.KINDS) and any(f"{p}>{k}" in weights for p in PM.KINDS for k in PM.KINDS)
+
+
 def test_positions_cut_the_text(spark):
     d = spark.createDataFrame([(1, "Écrire à a.b@c.fr ou au 06 12 34 56 78, merci.")], "doc_id long, text string")
     for r in P.spans(d, names(spark, *GIVEN)).collect():

@@ -32,17 +32,20 @@ FUNCTION_WORDS = {
 }
 # Letters and signs that only one of these languages uses.
 OWN_LETTERS = {"fr": "èêàâîôçœûëù", "en": "", "de": "äöüß", "es": "ñáíóú¿¡"}
+LATIN = "[A-Za-zªºÀ-ÖØ-öø-ʸ]"
+BEYOND_LATIN = r"[\u0370-\u1FFF\u2C60-\uD7FF\uF900-\x{10FFFF}]"
 SCRIPTS = {
     "latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}", "hebrew": r"\p{IsHebrew}",
     "cjk": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]", "devanagari": r"\p{IsDevanagari}", "thai": r"\p{IsThai}",
 }
 
-# How an answer declines. Matched in lower case with plain apostrophes, at the start of a sentence after the openings below.
+# How an answer declines. Matched in lower case with plain apostrophes and single blanks, at the start of a sentence after the
+# openings below. What is repeated gives nothing back, so no text makes the match try it in several ways.
 OPENINGS = (
-    r"(?:merci (?:pour|de) [^.!?]*[.!?]\s*|bonjour[^.!?,]*[.!?,]\s*|thank you [^.!?]*[.!?]\s*|hello[^.!?,]*[.!?,]\s*|danke [^.!?]*[.!?]\s*|gracias [^.!?]*[.!?]\s*)?"
+    r"(?:merci (?:pour|de) [^.!?]*+[.!?] ?+|bonjour[^.!?,]*+[.!?,] ?+|thank you [^.!?]*+[.!?] ?+|hello[^.!?,]*+[.!?,] ?+|danke [^.!?]*+[.!?] ?+|gracias [^.!?]*+[.!?] ?+)?"
     r"(?:(?:je suis (?:vraiment |sincèrement |profondément )?(?:désolée?|navrée?)|désolée?|navrée?|hélas|malheureusement|je regrette|pardon|excusez-moi|toutes mes excuses|i'm (?:very |really |so )?sorry|i am (?:very |really |so )?sorry|sorry|"
     r"unfortunately|apologies|my apologies|i apologi[sz]e|i regret|i'm afraid|i am afraid|es tut mir (?:sehr )?leid|tut mir leid|leider(?: gilt)?|entschuldigung|lo siento(?: mucho)?|por desgracia|lamentablemente|desafortunadamente|lamento|perdón|disculpe)"
-    r"\s*[,:;.!–—-]*\s*(?:mais|but|aber|pero|que|that|however|jedoch)?\s*,?\s*)*"
+    r" ?+[,:;.!–—-]*+ ?+(?:(?:mais|but|aber|pero|que|that|however|jedoch)\b)?+ ?+,?+ ?+)*+"
 )
 DECLINES = (
     r"(?:je|nous) ne (?:peux|puis|pourrai|pourrais|saurais|pouvons) (?:malheureusement |hélas )?(?:pas|point|rien)\b(?! que)", r"je ne suis pas (?:en mesure|autorisée?|habilitée?|capable|en position|programmée?)",
@@ -65,6 +68,7 @@ ASKS_LANGUAGE = (
     r"\b(?:in|into) (?:english|french|german|spanish|italian|portuguese|latin|russian|chinese|japanese|arabic|dutch)\b|\b(?:auf|ins) (?:deutsch|deutsche|englisch|englische|französisch|französische|spanisch|spanische|italienisch)\b|\ben (?:inglés|francés|alemán|español|italiano|portugués)\b"
 )
 DELIMITERS = (("(", ")"), ("[", "]"), ("{", "}"), ("«", "»"), ("“", "”"), ("‹", "›"))
+LONG = 4_000  # letters: longer copies are told by their shingles, as edit distance takes quadratic time
 
 
 def _bare(text: Column) -> Column:
@@ -73,11 +77,8 @@ def _bare(text: Column) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    return F.lower(F.translate(text, "’‘ʼ`´  ", "'''''  "))
-
-
-def _any(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)
+    """Lower case, plain apostrophes, every run of blanks one space."""
+    return F.regexp_replace(F.lower(F.translate(text, "’‘ʼ`´", "'''''")), r"[\s\p{Z}]+", " ")
 
 
 def _words(text: Column) -> Column:
@@ -85,11 +86,21 @@ def _words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _lines(text: Column) -> Column:
+    """Runs of blanks in a line shortened to one space, none at its ends, several blank lines to one."""
+    text = F.regexp_replace(text, r"[ \t\x0b\f\r\u00a0\u202f]+", " ")
+    return F.regexp_replace(F.regexp_replace(text, r" ?\n ?", "\n"), r"\n\n+", "\n\n")
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once however often the body names it."""
     return F.transform(F.array(value), body)[0]
 
 
+def _count(text: Column, sign: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))) / len(sign)
+
+
 def _decide(counts: dict[str, Column]) -> Column:
     """The key with the highest count, if twice as high as any other and at least two more; else null."""
     ranked = F.array_sort(F.array(*[F.struct((-c).alias("n"), F.lit(k).alias("k")) for k, c in counts.items()]))
@@ -99,98 +110,127 @@ def _decide(counts: dict[str, Column]) -> Column:
 def language_of(text: Column) -> Column:
     """fr, en, de or es by function words and letters that belong to one of them only; null where they do not decide.
 
-    Words are looked up in hash sets, which costs a tenth of matching them as alternatives of a pattern.
+    Words are looked up in hash sets, which costs a tenth of matching them as alternatives of a pattern; most are in none and
+    need one look-up.
     """
     lists = {k: set(v.split()) for k, v in FUNCTION_WORDS.items()}
     own = {k: sorted(w for w in v if not any(w in o for j, o in lists.items() if j != k)) for k, v in lists.items()}
-    low = _plain(F.coalesce(text, F.lit("")))
-    among = lambda v: lambda w: w.isin(*v)
-    letters = {k: F.regexp_count(low, F.lit(f"[{OWN_LETTERS[k]}]")) if OWN_LETTERS[k] else F.lit(0) for k in own}
-    return _let(F.split(low, r"[^\p{L}]+"), lambda words: _decide({k: F.size(F.filter(words, among(v))) + letters[k] for k, v in own.items()}))
+    every = sorted(w for v in own.values() for w in v)
+    digit = {k: n for n, k in enumerate(own)}
+
+    def worth(w: Column) -> Column:
+        out = F.lit(digit["fr"])
+        for k in ("es", "de", "en"):
+            out = F.when(w.isin(*own[k]), digit[k]).otherwise(out)
+        return out
+
+    def judge(x: Column) -> Column:
+        known = F.filter(x["words"], lambda w: w.isin(*every))
+        return _let(F.transform(known, worth), lambda v: _decide({k: F.size(v) - F.size(F.array_remove(v, n)) + (F.length(F.regexp_replace(x["letters"], f"[^{OWN_LETTERS[k]}]", "")) if OWN_LETTERS[k] else F.lit(0)) for n, k in enumerate(own)}))
+
+    low = F.lower(F.coalesce(text, F.lit("")))
+    letters = F.regexp_replace(low, f"[^{''.join(OWN_LETTERS.values())}]+", "")
+    return _let(F.struct(F.split(low, r"[^\p{L}]+").alias("words"), letters.alias("letters")), judge)
 
 
 def script_of(text: Column) -> Column:
-    return _decide({k: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)) for k, p in SCRIPTS.items()})
+    """The script of most letters; null where they do not decide. Texts without any sign beyond Latin, most of all, need one look."""
+    text = F.coalesce(text, F.lit(""))
+    all_latin = F.when(text.rlike(f"{LATIN}(?s:.*?){LATIN}"), "latin")
+    return F.when(~text.rlike(BEYOND_LATIN), all_latin).otherwise(_decide({k: F.regexp_count(text, F.lit(p)) for k, p in SCRIPTS.items()}))
 
 
-def is_empty(output: Column) -> Column:
+def is_empty(bare: Column) -> Column:
     """Nothing there: null, blanks, no letter or digit, a stand-in for nothing, or a label without anything after it."""
-    bare = _bare(output)
-    return ~bare.rlike(r"[\p{L}\p{N}]") | F.lower(bare).isin(*NO_ANSWER) | _plain(bare).rlike(f"^{LABELS}\\s*:$")
+    return ~bare.rlike(r"[\p{L}\p{N}]") | F.lower(bare).isin(*NO_ANSWER) | (F.length(bare) < 30) & _plain(bare).rlike(f"^{LABELS} ?:$")
 
 
-def is_refusal(instruction: Column, output: Column) -> Column:
+def is_refusal(plain_asked: Column, plain: Column) -> Column:
     """A sentence among the first two declines, and the instruction did not ask for a text that declines."""
-    text = _plain(_bare(output))
-    declines = rf"(?U)^{OPENINGS}(?:{'|'.join(DECLINES)})"
-    later = rf"(?U)^[^.!?]{{0,80}}[.!?]\s+{OPENINGS}(?:{'|'.join(DECLINES)})"
-    return (text.rlike(declines) | text.rlike(later)) & ~_plain(F.coalesce(instruction, F.lit(""))).rlike(f"(?U){ASKS_REFUSAL}")
+    declines = rf"(?U)^(?:[^.!?]{{0,80}}[.!?] )?{OPENINGS}(?:{'|'.join(DECLINES)})"
+    return plain.rlike(declines) & ~plain_asked.rlike(f"(?U){ASKS_REFUSAL}")
 
 
-def is_copy(instruction: Column, output: Column) -> Column:
-    """The output's words are the instruction's with at most a tenth of the characters changed, after an optional label."""
-    asked = _words(_bare(instruction))
-    given = _words(F.regexp_replace(_bare(output), rf"(?iu)^[\"«“'>\s]*{LABELS}\s*:\s*", ""))
-    close = F.abs(F.length(asked) - F.length(given)) * 10 <= F.length(asked)
-    distance = F.levenshtein(F.when(close, asked), F.when(close, given))
-    quoted = F.length(given) > 0
-    return quoted & close & (distance * 10 <= F.length(asked)) & ~_plain(F.coalesce(instruction, F.lit(""))).rlike(f"(?U){ASKS_COPY}")
+def is_copy(plain_asked: Column, asked: Column, given: Column) -> Column:
+    """The output's words are the instruction's, once or several times over, with at most a tenth of the characters or one word in eight changed.
 
-
-def is_truncated(instruction: Column, output: Column) -> Column:
+    ``asked`` and ``given`` are words. Of more than ``LONG`` characters: at least 0.8 of all shingles of five words are common to both.
+    """
+    over_and_over = (F.length(given) > F.length(asked)) & (F.trim(F.replace(given, asked, F.lit(""))) == "")
+    close = (F.length(given) > 0) & (F.abs(F.length(asked) - F.length(given)) * 10 <= F.length(asked))
+    short = F.length(asked) <= LONG
+    distance = F.levenshtein(F.when(close & short & (asked != given), asked), F.when(close & short, given))
+    shingles = lambda c: _let(F.split(c, " "), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda k: F.xxhash64(*[F.get(w, k + j) for j in range(5)]))))
+    both = _let(F.struct(shingles(asked).alias("a"), shingles(given).alias("b")), lambda x: F.size(F.array_intersect(x["a"], x["b"])) >= 0.8 * F.size(F.array_union(x["a"], x["b"])))
+    swapped = _let(F.struct(F.split(asked, " ").alias("a"), F.split(given, " ").alias("b")), lambda x: (F.size(x["a"]) == F.size(x["b"])) & (F.size(F.filter(F.zip_with(x["a"], x["b"], lambda v, w: v != w), lambda d: d)) * 8 <= F.greatest(F.size(x["a"]), F.when(F.size(x["a"]) >= 5, F.lit(8)).otherwise(0))))
+    near = (F.length(given) > 0) & (F.abs(F.length(asked) - F.length(given)) * 4 <= F.length(asked)) & swapped
+    same = (asked == given) | F.when(short, distance * 10 <= F.length(asked)).otherwise(both)
+    return ((close & same) | near | over_and_over) & ~plain_asked.rlike(f"(?U){ASKS_COPY}")
+
+
+def is_truncated(asked: Column, text: Column, words: Column) -> Column:
     """Something is left open (a bracket, a quotation, a code block), or the text stops without an end.
 
     A text that stops after a letter, digit or separator still counts as complete if it is a very short answer, a list whose
     items all go without a full stop, a closing line or a source note after a blank line, or a passage taken from the instruction.
+    ``text``: as ``_lines`` gives it; ``asked`` and ``words``: words of instruction and output.
     """
-    text = _bare(output)
-    opened = [F.regexp_count(text, F.lit(f"\\{a}")) > F.regexp_count(text, F.lit(f"\\{b}")) for a, b in DELIMITERS]
-    opened += [F.regexp_count(text, F.lit('"')) % 2 == 1, F.regexp_count(text, F.lit("```")) % 2 == 1]
-    lines = F.split(text, r"\s*\n\s*")
-    marker_only = (F.size(lines) > 1) & text.rlike(r"\n\s*(?:\d{1,3}[.)]|[-*•–])$")
-    ended = text.rlike(r"[.!?…»”\"')\]}’›]$|[.!?…][*_`]+$")
-    separator = text.rlike(r"[,;:(\[{«“–—/-]$")
-    short = (F.size(F.split(text, r"\s+")) <= 3) & ~separator & (F.size(lines) == 1)
-    items = F.filter(lines, lambda x: x.rlike(r"^(?:\d{1,3}[.)]|[-*•–])\s"))
-    open_items = F.filter(items, lambda x: ~x.rlike(r"[.!?…;,]$"))
-    bare_list = lines[F.size(lines) - 1].rlike(r"^(?:\d{1,3}[.)]|[-*•–])\s+\S") & (F.size(items) >= 2) & (F.size(open_items) == F.size(items)) & ~separator
-    tail = text.rlike(r"(?s)[.!?…»”\"')\]}]\s*\n[ \t]*\n\s*\p{Lu}[^\n]{0,60}$") & ~separator
-    short_tail = F.size(F.split(lines[F.size(lines) - 1], r"\s+")) <= 4
-    note = lines[F.size(lines) - 1].rlike(r"^\p{Lu}[\p{L} ]{0,20}\s?:\s*\S")
-    address = text.rlike(r"(?:https?://\S+|\S+@\S+\.\p{L}+)$")
-    taken = F.coalesce((F.length(_words(text)) > 0) & F.contains(_words(instruction), _words(text)), F.lit(False))
-    stops = ~ended & ~(short | bare_list | (tail & (short_tail | note)) | address | taken)
-    return _any(opened) | marker_only | stops
-
-
-def is_other_language(instruction: Column, output: Column) -> Column:
+    signs = F.regexp_replace(text, r"[^()\[\]{}«»“”‹›\"`]+", "")
+    unequal = lambda s: reduce(lambda a, b: a | b, [_count(s, a) > _count(s, b) for a, b in DELIMITERS] + [_count(s, '"') % 2 == 1])
+    opened = (signs != "") & (_let(signs, unequal) | (_count(text, "```") % 2 == 1))
+
+    def stops(x: Column) -> Column:
+        lines, blocks, end = x["lines"], x["blocks"], x["end"]
+        last = F.element_at(lines, -1)
+        ended = end.isin(*".!?…»”\"')]}’›") | (end.isin("*", "_", "`") & last.rlike(r"[.!?…][*_`]+$"))
+        separator = end.isin(*",;:([{«“–—/-")
+        short = (F.size(lines) == 1) & (F.size(F.split(last, r"\s+")) <= 3) & ~separator
+        items = F.filter(lines, lambda t: t.rlike(r"^(?:\d{1,3}[.)]|[-*•–])\s"))
+        open_items = F.filter(items, lambda t: ~F.substring(t, -1, 1).isin(*".!?…;,"))
+        bare_list = last.rlike(r"^(?:\d{1,3}[.)]|[-*•–])\s+\S") & (F.size(items) >= 2) & (F.size(open_items) == F.size(items)) & ~separator
+        closing = F.element_at(blocks, -1)
+        before = F.substring(F.get(blocks, F.size(blocks) - 2), -1, 1)
+        tail = (F.size(blocks) > 1) & before.isin(*".!?…»”\"')]}") & ~F.contains(closing, F.lit("\n")) & (F.length(closing) <= 61) & closing.rlike(r"^\p{Lu}") & ~separator
+        short_tail = F.size(F.split(last, r"\s+")) <= 4
+        note = last.rlike(r"^\p{Lu}[\p{L} ]{0,20}\s?:\s*\S")
+        address = F.element_at(F.split(last, " "), -1).rlike(r"https?://\S+$|\S@\S+\.\p{L}+$")
+        return ~ended & ~(short | bare_list | (tail & (short_tail | note)) | address)
+
+    parts = F.struct(F.split(text, r"\n+").alias("lines"), F.split(text, r"\n\n").alias("blocks"), F.substring(text, -1, 1).alias("end"))
+    taken = F.coalesce((F.length(words) > 0) & F.contains(asked, words), F.lit(False))
+    marker_only = F.substring(text, -6, 6).rlike(r"\n(?:\d{1,3}[.)]|[-*•–])$")
+    return opened | marker_only | (_let(parts, stops) & ~taken)
+
+
+def is_other_language(plain_asked: Column, asked: Column, bare_asked: Column, bare: Column, words: Column) -> Column:
     """Script or language of the output differs from the instruction's, which neither asks for a language nor holds the output itself."""
-    asked = _plain(F.coalesce(instruction, F.lit("")))
-    body = F.regexp_replace(_bare(output), r"(?s)^[^.!?:\n]{1,25}[.!?:]\s+(?=\S.{20})", "")  # without an opening such as "Of course."
-    scripts, languages = script_of(instruction) != script_of(output), language_of(instruction) != language_of(body)
-    held = F.coalesce(F.contains(_words(instruction), _words(output)), F.lit(False))
-    return (F.coalesce(scripts, F.lit(False)) | F.coalesce(languages, F.lit(False))) & ~asked.rlike(f"(?U){ASKS_LANGUAGE}") & ~held
+    body = F.regexp_replace(bare, r"(?s)^[^.!?:\n]{1,25}[.!?:]\s++(?=.{21})", "")  # without an opening such as "Of course."
+    scripts, languages = script_of(bare_asked) != script_of(bare), language_of(bare_asked) != language_of(body)
+    held = F.coalesce(F.contains(asked, words), F.lit(False))
+    return (F.coalesce(scripts, F.lit(False)) | F.coalesce(languages, F.lit(False))) & ~plain_asked.rlike(f"(?U){ASKS_LANGUAGE}") & ~held
 
 
 def defects(pairs: DataFrame, id_col: str = "pair_id", instruction_col: str = "instruction", output_col: str = "output") -> DataFrame:
     """``(id_col, defect)``: one row per pair and triggered defect among empty, copy, truncated, refusal and language.
 
-    The rules run in this order; an empty output has no other defect, and a copy is not also called truncated. A null or blank
-    instruction is no defect: the rules that compare with it then do not fire. Repeated rows give repeated results, an empty
-    table none; whole texts are read, of any length. One narrow stage: no shuffle, no Python.
+    The rules run in this order and each triggered one gives a row. Truncation, refusal and language are judged of outputs
+    that say something (not of empty ones), truncation and language of answers (a copy ends where its instruction ends and
+    speaks its language). A null or blank instruction is no defect: the rules that compare with it then do not fire. Repeated
+    rows give repeated results, an empty table none; whole texts are read, of any length, in time linear in it. One narrow
+    stage: no shuffle, no Python; each normal form of a text is computed once, and the dearer rules see only what is left.
     """
     i, o = F.col("i"), F.col("o")
-    src = pairs.select(F.col(id_col).alias("id"), F.col(instruction_col).cast("string").alias("i"), F.col(output_col).cast("string").alias("o"))
-    asks = F.length(_words(_bare(i))) > 0
-    flags = src.select(
-        "id", is_empty(o).alias("empty"), F.coalesce(is_copy(i, o) & asks, F.lit(False)).alias("copy"), is_truncated(i, o).alias("truncated"), is_refusal(i, o).alias("refusal"),
-        F.coalesce(is_other_language(i, o) & asks, F.lit(False)).alias("language"),
-    )
-    sound = ~F.col("empty")
+    src = pairs.select(F.col(id_col).alias("id"), _bare(F.col(instruction_col).cast("string")).alias("i"), _bare(F.col(output_col).cast("string")).alias("o"))
+    label = r"^[^.!?:\n]{1,40}:\s*"  # "Instruction:", "You ask:": what stands before is no answer
+    forms = src.select("id", "i", "o", _plain(i).alias("pi"), _plain(o).alias("po"), _words(i).alias("wi"), _words(o).alias("wo"), F.when(o.rlike(label), _words(F.regexp_replace(o, label, ""))).alias("wl"), _lines(o).alias("lo"), is_empty(o).alias("empty"))
+    pi, po, wi, wo, lo = (F.col(c) for c in ("pi", "po", "wi", "wo", "lo"))
+    asks, says = F.length(wi) > 0, ~F.col("empty")
+    flags = forms.select("*", F.coalesce(says & asks & (is_copy(pi, wi, wo) | F.coalesce(is_copy(pi, wi, F.col("wl")), F.lit(False))), F.lit(False)).alias("copy"))
+    answers = says & ~F.col("copy")
     found = F.array_compact(
         F.array(
-            F.when(F.col("empty"), "empty"), F.when(sound & F.col("copy"), "copy"), F.when(sound & ~F.col("copy") & F.col("truncated"), "truncated"), F.when(sound & F.col("refusal"), "refusal"),
-            F.when(sound & ~F.col("copy") & F.col("language"), "language"),
+            F.when(F.col("empty"), "empty"), F.when(F.col("copy"), "copy"), F.when(answers & is_truncated(wi, lo, wo), "truncated"), F.when(says & is_refusal(pi, po), "refusal"),
+            F.when(answers & asks & is_other_language(pi, wi, i, o, wo), "language"),
         )
     )
     return flags.select(F.col("id").alias(id_col), F.explode(found).alias("defect"))

@@ -199,7 +199,11 @@ def test_forward_backward_is_the_sum_over_all_segmentations():
             probs, log_total = PM.marginals(segments, stretch, weights)
             assert log_total == pytest.approx(math.log(total))
             assert [sum(p.values()) for p in probs] == pytest.approx([mass[k] / total for k in stretch])
-            assert set(PM._best_path(segments, stretch, weights)) == set(best[1])
+            path, s, end, last = PM._best_path(segments, stretch, weights), 0.0, None, "O"
+            for k in path:
+                s += weights[segments[k][5][0]] + weights[f"{last if end == segments[k][0] else 'O'}>{segments[k][4]}"]
+                end, last = segments[k][1], segments[k][4]
+            assert s == pytest.approx(best[0])
 
 
 def test_transitions_are_trained():

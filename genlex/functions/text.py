@@ -56,14 +56,44 @@ def upper_form(token: Column) -> Column:
     return F.when(token != F.upper(token), F.nullif(F.regexp_extract(token, UPPER_FORM, 1), F.lit("")))
 
 
+def _entities() -> dict[str, str]:
+    """The public list of HTML 5 character references, as the standard library has it, without the ``&``."""
+    from html.entities import html5
+
+    return html5
+
+
+def unescape_html(text: Column) -> Column:
+    """All named and numeric character references as characters; unknown ones stay. Texts without ``&`` pass untouched.
+
+    References without a semicolon count where HTML allows them (``&eacute`` but not ``&mdash``), the longest name first.
+    """
+    named = _entities()
+    loose = sorted((n for n in named if not n.endswith(";")), key=len, reverse=True)
+    piece = rf"(&#[0-9]{{1,7}};?|&#[xX][0-9a-fA-F]{{1,6}};?|&[A-Za-z][A-Za-z0-9]*;|&(?:{'|'.join(loose)})|&|[^&]+)"
+    table = F.create_map(*[F.lit(x) for n, c in named.items() for x in ("&" + n, c)])
+    windows = F.create_map(*[F.lit(x) for n in range(0x80, 0xA0) for x in (n, bytes([n]).decode("cp1252", "ignore") or chr(n))])
+
+    def sign(p: Column) -> Column:
+        digits = F.regexp_extract(p, r"^&#([0-9]+);?$", 1)
+        number = F.when(digits != "", digits.cast("int")).otherwise(F.conv(F.regexp_extract(p, r"^&#[xX]([0-9a-fA-F]+);?$", 1), 16, 10).cast("int"))
+        bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        char = F.when(bad, "\ufffd").when(number.between(0x80, 0x9F), windows[number]).otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        # of a run such as &nbspx; only the start may be a name
+        start = F.regexp_extract(p, rf"^&(?:{'|'.join(loose)})", 0)
+        known = F.coalesce(F.try_element_at(table, p), F.when(start != "", F.concat(F.try_element_at(table, start), F.substring(p, F.length(start) + 1, F.length(p)))))
+        return F.when(F.startswith(p, F.lit("&#")) & (F.length(p) > 2), F.coalesce(char, p)).when(F.startswith(p, F.lit("&")), F.coalesce(known, p)).otherwise(p)
+
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(piece), F.lit(1)), sign), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
 def remove_html(text: Column) -> Column:
-    """Unescape common entities, drop tags and links, runs of white space to one space. Script and style bodies go with their tags."""
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1>", "")
+    """Unescape character references, drop tags and links, runs of white space to one space. Script and style bodies go with their tags."""
+    text = F.regexp_replace(unescape_html(text), r"(?is)<(script|style)\b[^>]*>.*?</\1>", "")
     text = F.regexp_replace(text, r"<[/!a-zA-Z][^<>]*>", "")
     text = F.regexp_replace(text, r"http[s]?://\S+", "")
-    return F.regexp_replace(text, r"\s+", " ")
+    return F.regexp_replace(text, r"[\s\p{Z}\x1c-\x1f\x85]+", " ")
 
 
 def clean_if_marked(text: Column) -> Column:

@@ -40,6 +40,6 @@ def expand_one_hop(known: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``known``: (word), ``entries``: (word, definition).
     """
-    first = F.lower(F.regexp_extract("definition", r"^\W*([\w-]+)", 1))
+    first = F.lower(F.regexp_extract("definition", r"^[^\p{L}\p{N}_]*([\p{L}\p{N}\p{M}_-]+)", 1))
     parents = known.select(F.lower("word").alias("parent_word")).distinct()
     return entries.withColumn("parent_word", first).join(parents, "parent_word").select("word", "parent_word", "definition")

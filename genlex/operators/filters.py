@@ -97,3 +97,24 @@ def blank_cells(rows: DataFrame, id_col: str, columns: list[str], flags: dict[st
 def non_null_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Number of non-null cells per column."""
     return rows.agg(*[F.count(c).alias(c) for c in columns])
+
+
+def value_in(rows: DataFrame, column: str, values) -> DataFrame:
+    """rows whose value is one of the given ones; null is none of them."""
+    return rows.where(F.col(column).isin(*values))
+
+
+def without_substring(rows: DataFrame, column: str, part: str) -> DataFrame:
+    """rows whose text does not contain the part; null texts are dropped with them."""
+    return rows.where(~F.contains(column, F.lit(part)))
+
+
+def shape_columns(rows: DataFrame, rename: dict[str, str], drop=(), first=()) -> DataFrame:
+    """columns dropped, then renamed, then those of ``first`` in front."""
+    out = rows.drop(*drop).withColumnsRenamed(rename)
+    return out.select(*first, *[c for c in out.columns if c not in first])
+
+
+def assign_by_id(rows: DataFrame, values: DataFrame, id_col: str, column: str) -> DataFrame:
+    """``column`` of the row of ``values`` with the same id, null where there is none. The id stands for the row's place; ids of ``values`` are unique."""
+    return rows.drop(column).join(values.select(id_col, column), id_col, "left")

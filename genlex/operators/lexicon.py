@@ -40,6 +40,16 @@ def lower_all(rows: DataFrame, *excluding: str) -> DataFrame:
     return rows.withColumns({f.name: F.lower(f.name) for f in rows.schema if f.dataType.typeName() == "string" and f.name not in excluding})
 
 
+def union_all(*tables: DataFrame) -> DataFrame:
+    """Tables under one another by column name, repeated rows kept; columns that one lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def distinct_rows(rows: DataFrame) -> DataFrame:
+    """Whole rows once; nulls are equal."""
+    return rows.distinct()
+
+
 def union_distinct(*lists: DataFrame) -> DataFrame:
     """The set of words of several one-column tables; nulls are dropped."""
     return reduce(DataFrame.unionByName, [x.select(F.col(x.columns[0]).alias("noun")) for x in lists]).where("noun is not null").distinct()

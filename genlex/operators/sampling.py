@@ -64,3 +64,8 @@ def capped_per_group(rows: DataFrame, group_col: str, order_col: str, required_c
     w = Window.partitionBy(group_col).orderBy(order_col)
     named = usable.where(F.col(group_col).isin(*groups)).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= cap).drop("__r")
     return named.unionByName(usable.where(~F.col(group_col).isin(*groups)))
+
+
+def shuffled(rows: DataFrame, columns: list[str], seed: int = 42) -> DataFrame:
+    """The rows in a seeded hash order, sorted by range partitions; a relation has no order, so this matters for what is written next only."""
+    return rows.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns)

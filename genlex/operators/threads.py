@@ -64,6 +64,19 @@ def latest_turns(messages: DataFrame) -> DataFrame:
     return last.select("id", F.nullif("v.parent", F.lit("")).alias("parent"), "v.role", "v.text")
 
 
+def paths_in_turns(messages: DataFrame) -> DataFrame:
+    """D1 in long form: ``(conv_id, root_id, turn, role, text)``, one row per message of every path from a root (null parent) to a message without
+    replies, which is its conv_id; turns from 1. ``messages``: (id, parent, role, text), ids unique. A root without replies is no path.
+
+    The place of a message comes from pointer doubling: no window, so a thread of any size is no hot task.
+    """
+    members = thread_members(messages.select("id", "parent"))
+    ends = members.groupBy("leaf").agg(F.max_by("id", "back").alias("root_id"), F.max("back").alias("top")).where("top > 0")
+    ends = ends.join(messages.where("parent is null").select(F.col("id").alias("root_id")), "root_id")
+    out = members.join(ends, "leaf").join(messages.select("id", "role", "text"), "id")
+    return out.select(F.col("leaf").alias("conv_id"), "root_id", (F.col("top") - F.col("back") + 1).alias("turn"), "role", "text")
+
+
 def dialogue_turns(turns: DataFrame) -> DataFrame:
     """A18, D1-D4 in long form: ``(conv_id, root_id, role, n, text)``, one row per message of a speaker in every conversation, however many.
 
@@ -104,13 +117,17 @@ def role_ordinals(turns: DataFrame) -> DataFrame:
     return turns.where(F.col("role").isin("user", "assistant")).withColumn("n", F.row_number().over(own))
 
 
-def wide_dialogues(turns: DataFrame, turns_per_role: int) -> DataFrame:
-    """One row per conversation, columns user_content1..n and assistant_content1..n, ``""`` where there is none.
+def wide_dialogues(turns: DataFrame) -> DataFrame:
+    """One row per conversation, columns user_content1.. and assistant_content1.. as far as the longest dialogue goes, ``""`` where there is none.
 
-    A conditional aggregate, not a pivot over unknown values; the number of columns is given.
+    A conditional aggregate; only each speaker's largest number of turns comes to the driver. Every turn of every dialogue is
+    kept, so few very long dialogues make a very wide table: ``dialogue_turns`` is the long form.
     """
-    numbered = role_ordinals(turns)
-    cells = [F.coalesce(F.max(F.when((F.col("role") == r) & (F.col("n") == k), F.col("text"))), F.lit("")).alias(f"{r}_content{k}") for k in range(1, turns_per_role + 1) for r in ("user", "assistant")]
+    numbered = materialize(role_ordinals(turns))
+    most = {r["role"]: r["n"] for r in numbered.groupBy("role").agg(F.max("n").alias("n")).collect()}  # two rows
+    cells = [F.coalesce(F.max(F.when((F.col("role") == r) & (F.col("n") == k), F.col("text"))), F.lit("")).alias(f"{r}_content{k}") for k in range(1, max(most.values(), default=0) + 1) for r in ("user", "assistant") if k <= most.get(r, 0)]
+    if not cells:
+        return numbered.select("conv_id").distinct()
     return numbered.groupBy("conv_id").agg(*cells)
 
 

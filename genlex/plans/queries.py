@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
+from html.entities import html5
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genlex.functions import text as T
@@ -269,14 +270,15 @@ def non_null_counts(spark: SparkSession, d: str) -> DataFrame:
     return filters.non_null_counts(table(spark, d, "documents"), ["doc_id", "text", "lang", "source"])
 
 
-_CLEAN_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', '', 'g'), '<[/!a-zA-Z][^<>]*>', '', 'g'), 'https?://[^\\s]+', '', 'g'), '[\\s\\x0b]+', ' ', 'g')"
-_UNESCAPE = ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&amp;", "&")
+_CLEAN_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', '', 'g'), '<[/!a-zA-Z][^<>]*>', '', 'g'), 'https?://[^\\s]+', '', 'g'), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g')"
 
 
 def _clean_sql(c: str) -> str:
-    for a, b in _UNESCAPE:
-        c = f"replace({c}, '{a}', '{b}')"
-    return _CLEAN_SQL.format(c)
+    """References by the public list of names, and by number in either base."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    names = "MAP {" + ", ".join(f"{q('&' + n)}: {q(v)}" for n, v in html5.items() if n.endswith(";")) + "}"
+    sign = f"case when regexp_matches(x, '^&#[0-9]+;$') then chr(regexp_extract(x, '[0-9]+')::int) when regexp_matches(x, '^&#[xX][0-9a-fA-F]+;$') then chr(('0x' || regexp_extract(x, '[xX](.*);', 1))::int) else coalesce(({names})[x], x) end"
+    return _CLEAN_SQL.format(f"case when contains({c}, '&') then array_to_string(list_transform(regexp_extract_all({c}, '&[^;&\\s]+;|[^&]+|&'), lambda x: {sign}), '') else {c} end")
 
 
 @query(f"select doc_id, md5({_clean_sql('text')}) as cleaned_md5 from documents where text is not null")
@@ -316,19 +318,26 @@ def thread_paths(spark: SparkSession, d: str) -> DataFrame:
     return threads.thread_paths(_tree(spark, d)).select("root_id", "leaf_id", F.size("path").alias("n"))
 
 
-_TURNS_SQL = "turns as (select user_id as conv_id, row_number() over (partition by user_id order by created_at, message_id, ingested_at, content) as turn, case when role = 'prompter' then 'user' else role end as role, coalesce(content, '') as text from messages where user_id is not null)"
+#: every path from a root to a message without replies, message by message
+_TURNS_SQL = f"""recursive v as (select nullif(trim(message_id, ' '), '') as id, nullif(trim(parent_id, ' '), '') as parent, lower(trim(role, ' ')) as r, coalesce(content, '') as text, ingested_at, created_at from messages),
+    s as (select id, parent, case when r in (select * from (values {_values(V.USER_NAMES)})) then 'user' when r in (select * from (values {_values(V.ASSISTANT_NAMES)})) then 'assistant' else coalesce(r, '') end as role, text, ingested_at, created_at from v where id is not null),
+    m as (select id, parent, role, text from s qualify row_number() over (partition by id order by ingested_at desc nulls last, created_at desc nulls last, coalesce(parent, '') desc, role desc, text desc) = 1),
+    t as (select id as root_id, id as last_id, [id] as path from m where parent is null union all select root_id, m.id, list_append(path, m.id) from t join m on m.parent = t.last_id),
+    x as (select last_id as conv_id, root_id, unnest(path) as id, generate_subscripts(path, 1) as turn from t where len(path) > 1 and last_id not in (select parent from m where parent is not null)),
+    turns as (select conv_id, root_id, turn, role, text from x join m using (id))"""
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("created_at"), F.asc_nulls_last("message_id"), F.asc_nulls_last("ingested_at"), F.asc_nulls_last("content"))
-    m = table(spark, d, "messages").where("user_id is not null").withColumn("turn", F.row_number().over(w))
-    return threads.normal_role(m.select(F.col("user_id").alias("conv_id"), "turn", "role", F.coalesce("content", F.lit("")).alias("text")))
+    return threads.paths_in_turns(threads.latest_turns(table(spark, d, "messages")))
+
+
+_CUT_SQL = "cut as (select * from (select *, max(turn) over (partition by conv_id) as last from turns) where not (turn = last and role = 'user'))"
 
 
-@query(f"with {_TURNS_SQL}, n as (select *, row_number() over (partition by conv_id, role order by turn) as k from turns where role in ('user', 'assistant')) select conv_id, " + ", ".join(f"coalesce(max(text) filter (role = '{r}' and k = {k}), '') as {r}_content{k}" for k in (1, 2) for r in ("user", "assistant")) + " from n group by conv_id")
+@query(f"with {_TURNS_SQL}, {_CUT_SQL}, n as (select conv_id, role || '_content' || row_number() over (partition by conv_id, role order by turn) as cell, text from cut where role in ('user', 'assistant')) select * from (pivot n on cell using coalesce(max(text), '') group by conv_id)")
 def dialogue_wide(spark: SparkSession, d: str) -> DataFrame:
-    """D3 D4 A18"""
-    return threads.wide_dialogues(_turns(spark, d), 2)
+    """Every turn, in as many columns as the longest dialogue needs"""
+    return threads.wide_dialogues(threads.cut_last_user(_turns(spark, d)))
 
 
 @query(f"""with recursive v as (select nullif(trim(message_id, ' '), '') as id, nullif(trim(parent_id, ' '), '') as parent, lower(trim(role, ' ')) as r, coalesce(content, '') as text, ingested_at, created_at from messages),
@@ -339,7 +348,7 @@ def dialogue_wide(spark: SparkSession, d: str) -> DataFrame:
     c as (select distinct path[-1] as conv_id, root_id, path from l), x as (select conv_id, root_id, unnest(path) as id, generate_subscripts(path, 1) as turn from c)
     select conv_id, root_id, role, (row_number() over (partition by conv_id, role order by turn))::int as n, text from x join m using (id) where role in ('user', 'assistant')""")
 def dialogue_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Every message of every thread; dialogue_wide keeps the first two of each speaker of a user_id, as its SQL says"""
+    """D1-D4 A18 in long form, paths that differ only in the message cut off once"""
     return threads.dialogue_turns(threads.latest_turns(table(spark, d, "messages")))
 
 
@@ -349,11 +358,10 @@ def first_user(spark: SparkSession, d: str) -> DataFrame:
     return threads.first_of_role(_turns(spark, d), "user")
 
 
-@query(f"with {_TURNS_SQL} select conv_id, turn from (select *, max(turn) over (partition by conv_id) as last from turns) where not (turn = last and coalesce(role = 'user', false))")
+@query(f"with {_TURNS_SQL}, {_CUT_SQL} select conv_id, turn from cut")
 def cut_last_user(spark: SparkSession, d: str) -> DataFrame:
     """D2"""
-    t = _turns(spark, d).withColumn("role", F.coalesce("role", F.lit("")))
-    return threads.cut_last_user(t).select("conv_id", "turn")
+    return threads.cut_last_user(_turns(spark, d)).select("conv_id", "turn")
 
 
 _QUOTA_SQL = "c as (select source, count(*) as n from documents where source is not null group by 1), s as (select *, n / sum(n) over () as share from c), b as (select *, trunc(share * 500)::bigint as base from s), r as (select *, 500 - sum(base) over () as rest, row_number() over (order by share desc, source) as place from b)"
@@ -608,11 +616,12 @@ def human_list(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.human_list([lex.select(F.lower("noun").alias("noun")), tlfi.select(F.lower("wordform").alias("noun"))], dem, lex.where("origin = 'model' and noun is not null").select("noun"))
 
 
-@query("select word_id, case when definition <> '' then definition end as definition from (select word_id, worddefinitionfeatures->0->>'definition' as definition from tlfi_words where json_valid(worddefinitionfeatures)) where definition is not null and regexp_matches(lower(definition), 'personne|individu|homme|femme|celui|celle')")
+@query("""with e as (select distinct word_id, trim(regexp_replace(unnest(json_extract_string(worddefinitionfeatures, '$[*].definition')), '\\s:$', ''), ' ') as definition from tlfi_words where json_valid(worddefinitionfeatures))
+    select word_id, definition from e where regexp_matches(lower(definition), 'personne|individu|homme|femme|celui|celle')""")
 def definitions_of_persons(spark: SparkSession, d: str) -> DataFrame:
-    """D11"""
+    """All definitions of each entry, distinct within it"""
     parsed = F.from_json("worddefinitionfeatures", "array<struct<definition: string>>")
-    t = table(spark, d, "tlfi_words").select("word_id", F.array(F.get(parsed, F.lit(0))["definition"]).alias("defs")).where(F.col("defs")[0].isNotNull())
+    t = table(spark, d, "tlfi_words").select("word_id", F.filter(F.transform(parsed, lambda x: x["definition"]), lambda x: x.isNotNull()).alias("defs"))
     return t.select("word_id", F.explode(T.interesting_definitions(F.col("defs"))).alias("definition"))
 
 
@@ -629,13 +638,14 @@ def headwords(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tlfi_words").where("completewordform is not null").select("word_id", T.headword(F.col("completewordform")).alias("word"))
 
 
-@query("select word_id, parentword as parent_word, wordform as word from tlfi_words where lower(parentword) in (select lower(wordform) from tlfi_words where wordform is not null) and regexp_matches(parentword, '^[A-Za-z0-9_-]+$')")
+@query("""with e as (select word_id, wordform, lower(regexp_extract(parentword, '^[^\\p{L}\\p{N}_]*([\\p{L}\\p{N}\\p{M}_-]+)', 1)) as first from tlfi_words where parentword is not null)
+    select word_id, first as parent_word, wordform as word from e where first in (select lower(wordform) from tlfi_words where wordform is not null)""")
 def expand_one_hop(spark: SparkSession, d: str) -> DataFrame:
     """The parent word stands in for a definition's first word"""
     t = table(spark, d, "tlfi_words")
-    entries = t.where(F.col("parentword").rlike(r"^[A-Za-z0-9_-]+$")).select(F.struct("word_id", "wordform", "parentword").alias("word"), F.col("parentword").alias("definition"))
+    entries = t.where("parentword is not null").select(F.struct("word_id", "wordform").alias("word"), F.col("parentword").alias("definition"))
     out = clean.expand_one_hop(t.where("wordform is not null").select(F.col("wordform").alias("word")), entries)
-    return out.select("word.word_id", F.col("word.parentword").alias("parent_word"), F.col("word.wordform").alias("word"))
+    return out.select("word.word_id", "parent_word", F.col("word.wordform").alias("word"))
 
 
 @query("select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")

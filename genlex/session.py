@@ -54,6 +54,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on the Hadoop file system it names."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath))
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file through the Hadoop file system it lies on."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(jpath, True)
+    out.write(data)
+    out.close()
+
+
 def release(spark: SparkSession) -> int:
     """Delete the folders that ``materialize`` made in this process; call it when the results that read them are written. Returns their number."""
     count = len(_made)

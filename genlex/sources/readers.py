@@ -2,40 +2,70 @@
 
 from __future__ import annotations
 
-import os
+import io
 import sqlite3
 import warnings
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genlex.operators.validate import parse_verdicts
+from genlex.session import materialize, path_exists
 
 
-def read_pickle(spark: SparkSession, path: str) -> DataFrame:
-    """One-off import of a pandas pickle of one's own; other suffixes raise. Pickles run code: never read foreign ones."""
+def _binary_tables(spark: SparkSession, path: str, schema: str, parts: Callable[[bytes], Iterator]) -> DataFrame:
+    """Rows of whole binary files, each opened by the task that reads it; ``path`` may be a folder or pattern on any file system."""
+    def run(batches):
+        for pdf in batches:
+            for content in pdf["content"]:
+                yield from parts(content)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
+def read_pickle(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Import of pandas pickles of one's own; other suffixes raise. Pickles run code: never read foreign ones.
+
+    With a ``schema`` files are read by the executors, one task each; without one a single local file is read to infer it.
+    """
     if not path.endswith(".pkl"):
         raise ValueError("path must end in .pkl")
     import pandas as pd
 
-    return spark.createDataFrame(pd.read_pickle(path))
+    if schema is None:
+        return spark.createDataFrame(pd.read_pickle(path))
+    names = [f.split()[0] for f in schema.split(", ")]
+    return _binary_tables(spark, path, schema, lambda content: iter([pd.read_pickle(io.BytesIO(content))[names]]))
+
 
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str | None = None, batch: int = 50_000) -> DataFrame:
+    """A SQLite table, registered as a view of the same name. Files are opened by the executors, in batches of rows.
 
-def read_sqlite(spark: SparkSession, path: str, table: str, batch: int = 50_000) -> DataFrame:
-    """A SQLite table of a local file, read in batches on the driver and registered as a view of the same name."""
+    ``path`` may be a folder or pattern of files that have the table. Without ``schema`` the file must be local, and its column types are looked up.
+    """
     if not table.replace("_", "").isalnum():
         raise ValueError("bad table name")
-    kinds = {"INTEGER": "bigint", "INT": "bigint", "REAL": "double", "TEXT": "string"}
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        cols = [(r[1], kinds.get(r[2].upper(), "string")) for r in db.execute(f'PRAGMA table_info("{table}")')]
+    if schema is None:
+        kinds = {"INTEGER": "bigint", "INT": "bigint", "REAL": "double", "TEXT": "string"}
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+            cols = [(r[1], kinds.get(r[2].upper(), "string")) for r in db.execute(f'PRAGMA table_info("{table}")')]
         if not cols:
             raise ValueError(f"no table {table}")
         schema = ", ".join(f"`{n}` {k}" for n, k in cols)
-        cursor, out = db.execute(f'SELECT * FROM "{table}"'), None
+    names = [f.split()[0].strip("`") for f in schema.split(", ")]
+
+    def parts(content: bytes):
+        import pandas as pd
+
+        db = sqlite3.connect(":memory:")
+        db.deserialize(content)
+        cursor = db.execute(f'SELECT {", ".join(chr(34) + n + chr(34) for n in names)} FROM "{table}"')
         while rows := cursor.fetchmany(batch):
-            part = spark.createDataFrame(rows, schema)
-            out = part if out is None else out.unionByName(part)
-    out = spark.createDataFrame([], schema) if out is None else out
+            yield pd.DataFrame(rows, columns=names)
+        db.close()
+
+    out = _binary_tables(spark, path, schema, parts)
     out.createOrReplaceTempView(table)
     return out
 
@@ -71,9 +101,10 @@ def read_json_array(spark: SparkSession, path: str, schema: str, *columns: str)
 def read_batch_output(spark: SparkSession, path: str, positive_only: bool = False) -> DataFrame:
     """Verdicts of a JSONL batch-output file; line order decides between repeated ids.
 
-    Line order is the byte position, which Spark gives as the row id within a file's splits read in order.
+    Line order is by file, then by the split's place in it, then by the row's place in the split, whatever order splits are read in.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(place.alias("line_no"), "value")
     return parse_verdicts(lines, positive_only)
 
 
@@ -83,16 +114,23 @@ def read_lines(spark: SparkSession, path: str, name: str = "noun") -> DataFrame:
 
 
 def merge_json(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Union of JSON array files; missing files and other suffixes warn and are skipped, corrupt records are dropped."""
+    """Union of JSON array files; missing files and other suffixes warn and are skipped, corrupt records are dropped with a count.
+
+    Paths may lie on any file system that Spark reads.
+    """
     good = []
     for p in paths:
-        if not p.endswith(".json") or not os.path.exists(p):
+        if not p.endswith(".json") or not path_exists(spark, p):
             warnings.warn(f"skipped {p}", stacklevel=2)
         else:
             good.append(p)
     if not good:
         return spark.createDataFrame([], schema)
-    return spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").schema(schema).json(good)
+    read = materialize(spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "__corrupt").schema(f"{schema}, __corrupt string").json(good))
+    broken = read.where("__corrupt is not null").count()
+    if broken:
+        warnings.warn(f"dropped {broken} corrupt records", stacklevel=2)
+    return read.where("__corrupt is null").drop("__corrupt")
 
 
 def union_splits(spark: SparkSession, paths: list[str]) -> DataFrame:

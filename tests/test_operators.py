@@ -185,7 +185,7 @@ def test_threads(spark):
     assert threads.thread_paths(spark.createDataFrame([], "message_id string, parent_id string")).count() == 0
     t = spark.createDataFrame([("c", 0, "system", "s"), ("c", 1, "prompter", "u1"), ("c", 2, "assistant", "a1"), ("c", 3, "prompter", "u2"), ("d", 0, "assistant", "x")], "conv_id string, turn int, role string, text string")
     t = threads.normal_role(t)
-    assert rows(threads.wide_dialogues(t, 2)) == [("c", "u1", "a1", "u2", ""), ("d", "", "x", "", "")]
+    assert rows(threads.wide_dialogues(t)) == [("c", "u1", "a1", "u2"), ("d", "", "x", "")]
     assert rows(threads.first_of_role(t, "user")) == [("c", "u1"), ("d", "")]
     assert rows(threads.cut_last_user(t).select("conv_id", "turn")) == [("c", 0), ("c", 1), ("c", 2), ("d", 0)]
 

@@ -100,3 +100,12 @@ def test_feminine_pair(spark):
     assert [r[0] for r in rows.select(T.is_feminine_pair(F.col("t"), F.col("c"))).collect()] == [False] * 5
     longer = spark.createDataFrame([("subst.", "EXAMINATEUR, TRICE")], "t string, c string")
     assert longer.where(T.is_feminine_pair(F.col("t"), F.col("c"))).count() == 1
+
+
+def test_every_character_reference(spark):
+    import html
+
+    texts = ["&ecirc;&mdash;&#8217;&#xe9;&#XE9 &ocirc;&ugrave; &amp;eacute; &unknown; & a&b &eacute &notit; &#0; &#150; &#x1F600; &hearts;&NotEqualTilde; &", "sans rien", None, "&nbsp;&lt;b&gt;", "&#;&#x;&;", "&copyright", "&" * 50]
+    assert column(spark, T.unescape_html, texts) == [None if t is None else html.unescape(t) for t in texts]
+    every = "".join("&" + n + (" " if not n.endswith(";") else "") for n in html.entities.html5)
+    assert column(spark, T.unescape_html, [every]) == [html.unescape(every)]

@@ -78,15 +78,19 @@ def pages_to_rows(pages: DataFrame, html_col: str, extract: Callable[[Node], lis
     return pages.select(keep, html_col).where(F.col(html_col).isNotNull()).mapInPandas(run, f"{keep} {kinds[keep]}, {schema}")
 
 
-def demonyms(root: Node) -> list[tuple]:
-    """Of every table without its first row the third cell, cut at ``(``, split on commas."""
-    out = []
-    for table in root.find_all("table"):
-        for row in table.find_all("tr")[1:]:
-            cells = row.find_all("td")
-            if len(cells) > 2:
-                out += [(d.strip(),) for d in cells[2].text().strip().split("(")[0].strip().split(",")]
-    return out
+def _third_cells(root: Node) -> list[tuple]:
+    return [(cells[2].text(),) for t in root.find_all("table") for r in t.find_all("tr")[1:] if len(cells := r.find_all("td")) > 2]
+
+
+def demonyms(pages: DataFrame, html_col: str, keep: str) -> DataFrame:
+    """``(keep, demonym)``: of every table without its first row the third cell, up to the first ``(``, one row per comma-separated entry.
+
+    Only the cells' texts come out of Python; cutting and splitting are column expressions.
+    """
+    cells = pages_to_rows(pages, html_col, _third_cells, "cell string", keep)
+    trimmed = lambda c: F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    entries = F.split(trimmed(F.substring_index(trimmed(F.col("cell")), "(", 1)), ",")
+    return cells.select(keep, F.explode(entries).alias("demonym")).select(keep, trimmed(F.col("demonym")).alias("demonym"))
 
 
 def section_nouns(sections: tuple[str, ...] = ()) -> Callable[[Node], list[tuple]]:

@@ -19,7 +19,7 @@ def write_results(records: DataFrame, path: str) -> None:
 
 def column_arrays(rows: DataFrame, order_col: str, columns: list[str]) -> DataFrame:
     """K4: parallel arrays in one row, in the given order. A compatibility form for small results; prefer the rows."""
-    packed = F.array_sort(F.collect_list(F.struct(order_col, *columns)))
+    packed = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("__order"), *columns)))
     return rows.agg(packed.alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in columns])
 
 

@@ -73,3 +73,12 @@ def test_whole_lexicon_is_counted(spark, tmp_path):
     assert q("masculine_generic_logs") == [(1, 1, "glarbier", 0), (1, 4, "maître de prun", 0), (2, 1, "boulanger", 0)]
     assert q("class_counts") == [("forum", "Divers", 1), ("forum", "N de Rang", 1), ("forum", "profession", 1)]
     assert [r[:5] for r in q("m_score_by_source")] == [("forum", 2, 2, 3, 3)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from genlex.__main__ import main
+
+    assert main([]) == 0 and "m_score_by_source" in capsys.readouterr().out.split()
+    assert main(["none", DATA, str(tmp_path / "x")]) == 2 and main(["kappa"]) == 2
+    assert main(["scan_filter_aggregate", DATA, str(tmp_path / "out")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == core.QUERIES["scan_filter_aggregate"](spark, DATA).count()

@@ -57,7 +57,7 @@ def test_annotations(spark, tmp_path):
 def test_pages(spark):
     page = "<table><tr><td>h</td></tr><tr><td>1</td><td>2</td><td>Belge, Wallon (x)</td></tr></table>"
     one = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
-    assert [r["noun"] for r in html.pages_to_rows(one, "html", html.demonyms, "noun string", "page_id").collect()] == ["Belge", "Wallon"]
+    assert [r["demonym"] for r in html.demonyms(one, "html", "page_id").collect()] == ["Belge", "Wallon"]
     nouns = "<h2>Corps</h2><p><b>Noms</b> <a>main</a> <a>ami</a> <a>main</a></p><h2>Autre</h2><p><b>Noms</b><a>roi</a></p>"
     two = spark.createDataFrame([(1, nouns)], "page_id long, html string")
     found = html.pages_to_rows(two, "html", html.section_nouns(("Corps",)), "pos int, noun string", "page_id")

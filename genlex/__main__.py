@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import importlib
 import sys
 
 from pyspark.sql import SparkSession
@@ -12,16 +11,6 @@ from genlex.plans import io_queries, queries  # noqa: F401  (io_queries adds its
 from genlex.session import release
 
 
-def named_queries() -> dict:
-    """The library's queries, with those of the training-data subpackage where it is installed."""
-    found = dict(queries.QUERIES)
-    try:
-        found |= importlib.import_module("genlex" + ".llm.queries").QUERIES
-    except ImportError:
-        pass
-    return found
-
-
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Exit code 0, or 2 for a query that does not exist."""
     parser = argparse.ArgumentParser(prog="genlex", description="Run a named query over a folder of parquet tables.")
@@ -30,7 +19,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("out", nargs="?", help="folder to write to")
     parser.add_argument("--mode", choices=("error", "overwrite"), default="error", help="what to do if OUT exists")
     given = parser.parse_args(args)
-    found = named_queries()
+    found = queries.QUERIES
     if given.query is None:
         print("\n".join(sorted(found)))
         return 0

@@ -23,7 +23,7 @@ from .lookalikes import _tables, compose
 
 MATCH, MISMATCH, GAP = 2, -2, -2
 MAX_BROADCAST_SEEDS = 4_000_000  # 8 bytes each: above it the seeds are joined by shuffle
-PAIRS_PER_TASK = 256  # alignment is arithmetic on few bytes: tasks are cut by number of pairs, not by size
+PAIRS_PER_TASK = 2048  # alignment is arithmetic on few bytes: tasks are cut by number of pairs, not by size, each of about a second
 ITEMS_PER_SHARE = 64  # a document with more candidates is split over several tasks
 STRETCH = 4096  # tokens of a document that are aligned at once: memory is bounded by this times the item
 INLINE = "i|b|em|strong|u|s|span|a|sup|sub|small|mark|font|q|cite|abbr|code"

@@ -254,14 +254,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_SEEDS else df
 
 
-def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, one_in: int = 8, common_share: float = 0.001) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, one_in: int = 8, common_share: float = 0.001, common_least: int = 100) -> DataFrame:
     """``(doc_id, item_id, n_words, n_changed, score, item_words)``: one row per document and item of which it holds the whole
     text or at least ``least_words`` consecutive words, at most one word in ``one_in`` of them changed.
 
     ``documents``: (doc_id, text), ``items``: (item_id, text); other columns are ignored. Rows without id and null or wordless texts match nothing,
     rows of one id are searched each and give its best match, empty tables none. All documents are searched in full with all runs
     of words; only ids and 8-byte hashes of runs that are seeds leave the scan, and texts are read again for candidates only.
-    A seed in more than ``common_share`` of the documents is no evidence alone: it needs a second run of ``context_length`` tokens
+    A seed in more than ``common_share`` of the documents, and in more than ``common_least``, is no evidence alone: it needs a second run of ``context_length`` tokens
     within reach, on both sides (items under ``least_words`` words have no room for one, their seeds always count). The cost of a
     stock phrase thus grows with its documents, not with documents times items. Documents are never grouped, and one with very
     many candidates is split, so neither a text that makes up a third of all rows nor a page of all items is a hot key.
@@ -283,7 +283,7 @@ def leaks(documents: DataFrame, items: DataFrame, least_words: int = 20, one_in:
     found = found.select("doc_id", "row", F.explode(F.array_distinct(F.concat(*[runs(F.col("hashes"), n) for n in sizes]))).alias("gram"))
     hits = materialize(found.join(known, "gram", "left_semi"))
     key = ["doc_id", "row"]
-    frequent = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > F.lit(common_share) * texts.count()).select("gram")
+    frequent = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > F.lit(max(common_share * texts.count(), common_least))).select("gram")
     context, long_items = context_length(least_words, one_in), prepared.where(F.col("n_words") >= least_words)
     common = materialize(frequent.join(_seeds(long_items, sizes).select("gram").distinct(), "gram", "left_semi") if context >= 2 else frequent.limit(0))
     # a gram may be common and still count alone for a short item
